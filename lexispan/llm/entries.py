@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.llm import langid, mixing, quality, sharding
+from lexispan.llm import langid, mixing, pieces, quality, sharding
 from lexispan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": lambda spark, sf: langid.identified(table(spark, sf, "documents")),
         "op7_mixing": lambda spark, sf: mixing.manifest(table(spark, sf, "documents")),
         "op8_quality_rules": lambda spark, sf: quality.report(table(spark, sf, "documents")),
+        "op9_sentencepiece": lambda spark, sf: pieces.encoded(table(spark, sf, "documents")),
     }
 
 

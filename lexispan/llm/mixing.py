@@ -20,14 +20,24 @@ BUCKETS, UNIT, OFFSET = 1024, 1_000_000, 618_034
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with the length of each text and its hash, which is all that drawing needs of it."""
+    return docs.withColumns({"__size": F.coalesce(F.char_length("text"), F.lit(0)).cast("long"), "__hash": F.xxhash64("text")})
+
+
 def sampled(docs: DataFrame, weights: dict[str, int] | None = None, offset: int = OFFSET) -> DataFrame:
     """Rows of docs, each as often as it is drawn, with column __copy counted from 1."""
+    return drawn(measured(docs), weights, offset).drop("__size", "__hash")
+
+
+def drawn(docs: DataFrame, weights: dict[str, int] | None = None, offset: int = OFFSET) -> DataFrame:
+    """As sampled, of a result of measured."""
     weights = WEIGHTS if weights is None else weights
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     weight = F.lit(1)
     for name, w in weights.items():
         weight = F.when(F.col("source") == name, F.lit(int(w))).otherwise(weight)
-    keyed = docs.select("*", source.alias("__source"), F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1)).alias("__bucket"), weight.cast("long").alias("__weight"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("__size"))
+    keyed = docs.select("*", source.alias("__source"), F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1)).alias("__bucket"), weight.cast("long").alias("__weight"))
     parts = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("n"), F.sum("__size").alias("chars"), F.max("__weight").alias("weight"))
     sources = parts.groupBy("__source").agg(F.sum("chars").cast("decimal(38,0)").alias("chars"), F.max("weight").cast("decimal(38,0)").alias("weight")).where("chars > 0")
     total = sources.agg(F.sum("chars").cast("decimal(38,0)").alias("all"), F.sum("weight").cast("decimal(38,0)").alias("weights"))
@@ -35,16 +45,16 @@ def sampled(docs: DataFrame, weights: dict[str, int] | None = None, offset: int
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.join(rates, "__source").select("__source", "__bucket", "__rate", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     # One row for each bucket of a source: as many as sources times BUCKETS, which the optimizer may broadcast by its own size check.
-    within = Window.partitionBy("__source", "__bucket").orderBy("doc_id", "__size", F.xxhash64("text"))
+    within = Window.partitionBy("__source", "__bucket").orderBy("doc_id", "__size", "__hash")
     ranked = keyed.withColumn("__rank", F.row_number().over(within).cast("long")).join(starts, ["__source", "__bucket"])
     crossed = F.expr(f"(({offset}L + (__before + __rank) * __rate) div {UNIT}L) - (({offset}L + (__before + __rank - 1) * __rate) div {UNIT}L)")
-    drawn = ranked.withColumn("__copies", crossed).where(F.col("__copies") > 0)
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
+    chosen = ranked.withColumn("__copies", crossed).where(F.col("__copies") > 0)
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
 
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, source and copy of every drawn document."""
-    return sampled(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.col("__copy").alias("copy"))
+    return drawn(measured(docs.select("doc_id", "source", "text")).drop("text")).select("doc_id", "source", F.col("__copy").alias("copy"))
 
 
 MANIFEST_SQL = f"""

@@ -63,7 +63,7 @@ class Vocabulary:
         base, check, value = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.full(room, -1, np.int32)
         used = bytearray(room)
         used[0] = 1
-        todo, free = [(0, root)], 1
+        todo, free, after = [(0, root)], 256, 256  # any byte reaches the first free place; several children go where there is room
         while todo:
             state, node = todo.pop()
             value[state] = node.get(-1, -1)
@@ -72,7 +72,8 @@ class Vocabulary:
                 continue
             while used[free]:
                 free += 1
-            b = max(free - keys[0], 0)
+            b = (free if len(keys) == 1 else max(free, after)) - keys[0]
+            tries = 0
             while True:
                 if b + 256 >= len(used):
                     used.extend(bytes(len(used)))
@@ -80,6 +81,9 @@ class Vocabulary:
                 if not any(used[b + k] for k in keys):
                     break
                 b += 1
+                tries += 1
+            if tries > 64:
+                after = b + keys[0]
             base[state] = b
             for k in keys:
                 used[b + k] = 1

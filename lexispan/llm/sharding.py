@@ -54,24 +54,33 @@ def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, l
     return plan
 
 
+def keyed_by_text(docs: DataFrame) -> DataFrame:
+    """docs with columns __key, alike for all copies of a text, and __chars."""
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    return docs.withColumns({"__key": key, "__chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long")})
+
+
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with column __shard."""
-    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
-    keyed = docs.withColumns({"__key": key, "__chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long")})
+    return homed(keyed_by_text(docs), shards).drop("__key", "__chars")
+
+
+def homed(keyed: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """keyed, a result of keyed_by_text, with column __shard."""
     groups = keyed.groupBy("__key").agg(F.sum("__chars").alias("__size"))
     histogram = groups.groupBy("__size").agg(F.count("*").alias("n"))
-    plan = docs.sparkSession.createDataFrame(schedule([(r[0], r[1]) for r in histogram.collect()], shards), PLAN)
+    plan = keyed.sparkSession.createDataFrame(schedule([(r[0], r[1]) for r in histogram.collect()], shards), PLAN)
     rank = (F.row_number().over(Window.partitionBy("__size").orderBy("__key")) - 1).alias("__rank")
     turn = F.col("__rank") - F.size("__first")
     shard = F.when(turn < 0, F.get("__first", F.col("__rank"))).otherwise(F.get("__round", F.when(F.size("__round") > 0, turn % F.size("__round"))))
     homes = groups.select("__key", "__size", rank).join(plan, "__size").select("__key", shard.alias("__shard"))
-    return keyed.join(homes, "__key").drop("__key", "__chars")
+    return keyed.join(homes, "__key")
 
 
 def assignment(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, shard and n_chars of every document."""
-    out = placed(docs.select("doc_id", "text"), shards)
-    return out.select("doc_id", F.col("__shard").alias("shard"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"))
+    narrow = keyed_by_text(docs.select("doc_id", "text")).drop("text")  # texts stay out of the shuffles
+    return homed(narrow, shards).select("doc_id", F.col("__shard").alias("shard"), F.col("__chars").cast("int").alias("n_chars"))
 
 
 ASSIGNMENT_SQL = f"""
