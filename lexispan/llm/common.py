@@ -99,12 +99,8 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows, in order, and their rows: polynomials of the bytes modulo 2^64, taken from one prefix sum."""
-    data = LOWER[data]
-    starts, ends, rows = runs(inside[data], at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), rows
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial of the bytes modulo 2^64 and the inverse powers, from which any stretch is hashed at once."""
     powers = np.full(len(data) + 1, BASE, dtype=np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -113,7 +109,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray = WORD) ->
     back = np.full(len(data) + 1, BASE_INVERSE, dtype=np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    return mixed((sums[ends] - sums[starts]) * back[starts]), rows
+    return sums, back
+
+
+def stretch_hashes(sums: np.ndarray, back: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mixed((sums[ends] - sums[starts]) * back[starts])
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, in order, and their rows."""
+    data = LOWER[data]
+    starts, ends, rows = runs(inside[data], at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), rows
+    return stretch_hashes(*rolling(data), starts, ends), rows
 
 
 def gram_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

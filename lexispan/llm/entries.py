@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.llm import langid, mixing, pieces, quality, sharding
+from lexispan.llm import jaccard, langid, mixing, pieces, quality, sharding, toxicity
 from lexispan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": lambda spark, sf: toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op4_sharding": lambda spark, sf: sharding.assignment(table(spark, sf, "documents")),
+        "op5_jaccard_join": lambda spark, sf: jaccard.groups(table(spark, sf, "documents")),
         "op6_language_id": lambda spark, sf: langid.identified(table(spark, sf, "documents")),
         "op7_mixing": lambda spark, sf: mixing.manifest(table(spark, sf, "documents")),
         "op8_quality_rules": lambda spark, sf: quality.report(table(spark, sf, "documents")),
