@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.llm import jaccard, langid, mixing, pieces, quality, sharding, toxicity
+from lexispan.llm import chat, jaccard, langid, mixing, pieces, quality, sharding, toxicity
 from lexispan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda spark, sf: toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
+        "op3_chat_format": lambda spark, sf: chat.conversations(table(spark, sf, "conversations")),
         "op4_sharding": lambda spark, sf: sharding.assignment(table(spark, sf, "documents")),
         "op5_jaccard_join": lambda spark, sf: jaccard.groups(table(spark, sf, "documents")),
         "op6_language_id": lambda spark, sf: langid.identified(table(spark, sf, "documents")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ASSIGNMENT_SQL, "op7_mixing": mixing.MANIFEST_SQL, "op8_quality_rules": quality.REPORT_SQL}
+    return {"op3_chat_format": chat.SQL, "op4_sharding": sharding.ASSIGNMENT_SQL, "op7_mixing": mixing.MANIFEST_SQL, "op8_quality_rules": quality.REPORT_SQL}
