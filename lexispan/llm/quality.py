@@ -19,21 +19,25 @@ from pyspark.sql import functions as F
 
 SYMBOLS, REPEATS, LOSS = 0.1, 0.3, 0.5
 NOISE = "!#$%&*|<>{}[]\\^~=+@_/"
-BOILERPLATE = r"(?i)(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|enable javascript|lorem ipsum)"
+BOILERPLATE = ("licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum")
+NOISY = "[" + "".join("\\" + c for c in NOISE) + "]"
 SENTENCE = "[.!?…][\"')\\]»”]*([ \\t\\r]|$)"
-REPEAT = r"(?<![^ ])([^ ]+) (?=\1(?![^ ]))"
+REPEAT = r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))"
 
 
 def failure(line: Column) -> Column:
     """Name of the first rule that a line fails; null for a line that stays."""
     size = F.char_length(line)
-    kept = F.char_length(F.translate(line, NOISE, ""))
-    words = F.char_length(line) - F.char_length(F.translate(line, " ", "")) + 1
+    words = F.regexp_count(line, F.lit(" ")) + 1
+    low = F.lower(line)
+    boilerplate = low.contains(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
+        boilerplate = boilerplate | low.contains(phrase)
     return (
         F.when(F.trim(line) == "", None)
-        .when(line.rlike(BOILERPLATE), "boilerplate")
-        .when(size - F.char_length(F.translate(line, "|", "")) >= 2, "navigation")
-        .when(size - kept > size * SYMBOLS, "symbols")
+        .when(boilerplate, "boilerplate")
+        .when((F.instr(line, "|") > 0) & (F.regexp_count(line, F.lit("[|]")) >= 2), "navigation")
+        .when(F.regexp_count(line, F.lit(NOISY)) > size * SYMBOLS, "symbols")
         .when(F.regexp_count(line, F.lit(REPEAT)) > words * REPEATS, "repeats")
         .when(~line.rlike(SENTENCE), "punctuation")
     )
@@ -51,7 +55,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__parts", F.struct(clean.alias("text"), lost.alias("lost"), (chars(xs) - boiler).alias("of"), F.size(xs).alias("n_lines"), F.size(F.filter(xs, lambda x: x["why"].isNotNull())).alias("n_removed")))
     p = F.col("__parts")
     kept = F.coalesce((F.trim(F.translate(p["text"], "\n", "")) != "") & (p["lost"] <= p["of"] * LOSS), F.lit(False))
-    return step.withColumn("__quality", F.struct(p["text"].alias("text"), p["n_lines"].alias("n_lines"), p["n_removed"].alias("n_removed"), kept.alias("kept"))).drop("__lines", "__parts")
+    verdict = F.struct(p["text"].alias("text"), p["n_lines"].alias("n_lines"), p["n_removed"].alias("n_removed"), kept.alias("kept"))
+    # A generator of one row: a filter on its result isn't pushed below it, where all of this would be worked out a second time.
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(verdict)).alias("__quality"))
 
 
 def cleaned(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -69,7 +75,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 _WHY = rf"""CASE WHEN trim(x) = '' THEN NULL
-  WHEN regexp_matches(x, '{BOILERPLATE}') THEN 'boilerplate'
+  WHEN regexp_matches(lower(x), '{"|".join(BOILERPLATE)}') THEN 'boilerplate'
   WHEN length(x) - length(translate(x, '|', '')) >= 2 THEN 'navigation'
   WHEN length(x) - length(translate(x, '{NOISE}', '')) > length(x) * {SYMBOLS}e0 THEN 'symbols'
   WHEN len(list_filter(range(1, len(string_split(x, ' '))), lambda i: string_split(x, ' ')[i] = string_split(x, ' ')[i + 1] AND string_split(x, ' ')[i] <> ''))
