@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import BASE, gram_sets, mixed, remove, shared_folder, slices, utf8, written
+from lexispan.llm.common import BASE, gram_sets, mixed, shared_folder, slices, utf8, written
 
 N, THRESHOLD, TRIES, DEPTH = 2, 0.5, 40, 4
 
