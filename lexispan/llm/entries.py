@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.llm import chat, jaccard, langid, mixing, pieces, quality, sharding, template, toxicity
+from lexispan.llm import chat, jaccard, langid, mixing, neargraph, pieces, quality, sharding, template, toxicity
 from lexispan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda spark, sf: toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
+        "op2_embedding_dedup": lambda spark, sf: neargraph.groups(table(spark, sf, "embeddings")),
         "op10_html_extraction": lambda spark, sf: template.extracted(table(spark, sf, "pages")),
         "op3_chat_format": lambda spark, sf: chat.conversations(table(spark, sf, "conversations")),
         "op4_sharding": lambda spark, sf: sharding.assignment(table(spark, sf, "documents")),
