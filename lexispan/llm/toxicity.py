@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lexispan.llm.common import BASE, LOWER, WORD, mixed, rolling, runs, slices, stretch_hashes, utf8
 
-TOXIC, CLEAN, PURITY, EVIDENCE = 1500, 4500, 0.9, 15.0
-BEGINNINGS, ENDING, BUCKETS, ROUNDS, DECAY, SLICE = (3, 4, 5, 6, 7, 8), 4, 1 << 18, 60, 1e-4, 1 << 20
+TOXIC, CLEAN, PURITY, EVIDENCE = 600, 1800, 0.9, 15.0
+BEGINNINGS, ENDING, BUCKETS, ROUNDS, DECAY, SLICE = (3, 4, 5, 6, 7, 8), 4, 1 << 18, 50, 1e-4, 1 << 20
 STOP = np.zeros(256, dtype=bool)
 STOP[[10, 13, ord("."), ord("!"), ord("?")]] = True
 
@@ -49,6 +49,24 @@ class Tokens:
         kinds = [(s, e)] + [(s, np.minimum(e, s + k)) for k in BEGINNINGS] + [(np.maximum(s, e - ENDING), e)]
         self.hashes = [stretch_hashes(sums, back, a, b) for a, b in kinds]
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Tokens:
+        """Tokens of many texts, taken in slices, so that only the hashes of all are held."""
+        parts, at = [], []
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        for part in slices(batch, "text", SLICE):
+            at.append(at[-1] + n if at else 0)
+            n = part.num_rows
+            parts.append(cls(*utf8(part.column("text"))))
+        out = cls.__new__(cls)
+        before = np.cumsum([0] + [len(p.starts) for p in parts])
+        out.starts = out.ends = np.zeros(before[-1], np.int8)
+        out.rows = np.concatenate([p.rows + k for p, k in zip(parts, at)])
+        out.first = np.concatenate([p.first + k for p, k in zip(parts, before)])
+        out.size = np.concatenate([p.size for p in parts])
+        out.hashes = [np.concatenate(h) for h in zip(*(p.hashes for p in parts))]
+        return out
+
     def buckets(self) -> list[np.ndarray]:
         return [(mixed(h + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32) for k, h in enumerate(self.hashes)]
 
@@ -88,19 +106,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fitted(features: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the feature buckets and transition scores that make the labels most likely; features: kinds times tokens."""
+def _sum(w: np.ndarray, features: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    e = np.zeros(len(features[0]))
+    for f in features:
+        e += w[f]
+    return e
+
+
+def fitted(features: list[np.ndarray], y: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the feature buckets and transition scores that make the labels most likely; features: an array for each kind."""
     w, a = np.zeros(BUCKETS), np.zeros(5)
     gw, ga = np.full(BUCKETS, 1e-6), np.zeros(5)
     follows = np.ones(len(y), dtype=bool)
     follows[first] = False
     later = np.flatnonzero(follows)
-    flat = features.ravel()
     for _ in range(ROUNDS):
-        e = w[features].sum(0)
+        e = _sum(w, features)
         r, q = forward_backward(e, a, first, size)
         wrong = sigmoid(r + q) - y
-        step = np.bincount(flat, np.tile(wrong, len(features)), BUCKETS) + DECAY * len(y) / BUCKETS * w
+        step = sum(np.bincount(f, wrong, BUCKETS) for f in features) + DECAY * len(y) / BUCKETS * w
         right = e[later] + q[later]
         joint = np.stack([np.full(len(later), a[0]), a[1] + right, r[later - 1] + a[2], r[later - 1] + a[3] + right])
         joint = np.exp(joint - joint.max(0))
@@ -110,7 +134,7 @@ def fitted(features: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndar
         gw += step * step
         ga = 0.9 * ga + 0.1 * turn * turn
         w -= 0.7 * step / np.sqrt(gw)
-        a -= 0.05 * turn / np.sqrt(ga + 1e-9)
+        a -= 0.15 * turn / np.sqrt(ga + 1e-9)
     return w.astype(np.float32), a
 
 
@@ -119,13 +143,11 @@ def evidence(toxic: list[tuple[np.ndarray, np.ndarray]], clean: list[tuple[np.nd
     out = []
     p = n_toxic / max(n_toxic + n_clean, 1)
     for (h, near), (hc, near_c) in zip(toxic, clean):
-        pairs = np.unique(np.stack([h, near], 1), axis=0)[:, 0] if len(h) else h
-        value, t = np.unique(pairs, return_counts=True)
+        value, t = np.unique(h[np.unique(mixed(h * BASE + near), return_index=True)[1]], return_counts=True)
         value, t = value[t >= 4], t[t >= 4]
         place = np.minimum(np.searchsorted(value, hc), max(len(value) - 1, 0))
         hit = value[place] == hc if len(value) else np.zeros(len(hc), dtype=bool)
-        also = np.unique(np.stack([place[hit].astype(np.uint64), near_c[hit]], 1), axis=0)[:, 0].astype(np.int64)
-        c = np.bincount(also, minlength=len(value))
+        c = np.bincount(place[hit][np.unique(mixed(hc[hit] * BASE + near_c[hit]), return_index=True)[1]], minlength=len(value))
         n = t + c
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = t * np.log(t / (n * p)) + np.where(c > 0, c * np.log(c / (n * (1 - p))), 0)
@@ -139,7 +161,7 @@ def train(texts: list[str], toxic: list[bool]) -> dict | None:
     texts, label = [texts[i] for i in order], np.array([toxic[i] for i in order], dtype=bool)
     if not label.any():
         return None
-    tokens = Tokens(*utf8(pa.array(texts)))
+    tokens = Tokens.of(texts)
     near, bad = tokens.neighbours(), label[tokens.rows]
     found = evidence([(h[bad], near[bad]) for h in tokens.hashes[:-1]], [(h[~bad], near[~bad]) for h in tokens.hashes[:-1]], int(bad.sum()), int((~bad).sum()))
     y = np.zeros(len(bad), dtype=bool)
@@ -151,17 +173,18 @@ def train(texts: list[str], toxic: list[bool]) -> dict | None:
         return None
     chain = np.repeat(np.arange(len(tokens.first)), tokens.size)
     with_toxic = np.bincount(chain[y], minlength=len(tokens.first)) > 0
-    # Sentences of clean documents whose words share a beginning with a toxic one teach the most; of the rest every k-th is taken.
+    # Sentences of clean documents whose words share a beginning with a toxic one teach the most; of these and of the rest every k-th is taken.
     rest = np.flatnonzero(~with_toxic)
     stems = np.unique(tokens.hashes[1][y])
     close = np.bincount(chain[stems[np.minimum(np.searchsorted(stems, tokens.hashes[1]), len(stems) - 1)] == tokens.hashes[1]], minlength=len(with_toxic)) > 0
-    use = with_toxic | close
-    use[rest[:: max(1, len(rest) // (4 * int(with_toxic.sum()) + 2000))]] = True
+    use = with_toxic.copy()
+    for others in (np.flatnonzero(close & ~with_toxic), rest):
+        use[others[:: len(others) // (2 * int(with_toxic.sum()) + 1000) + 1]] = True
     take = use[chain]
     size = tokens.size[use]
     first = np.cumsum(size) - size
-    features = np.stack(tokens.buckets())
-    w, a = fitted(features[:, take], y[take].astype(float), first, size)
+    features = tokens.buckets()
+    w, a = fitted([f[take] for f in features], y[take].astype(float), first, size)
     x = _document(_marginals(w, a, tokens, features), tokens.rows, len(texts))
     b = np.zeros(3)
     want = label.astype(float)
@@ -182,10 +205,7 @@ def train(texts: list[str], toxic: list[bool]) -> dict | None:
 
 
 def _marginals(w: np.ndarray, a: np.ndarray, tokens: Tokens, features: list[np.ndarray] | np.ndarray) -> np.ndarray:
-    e = np.zeros(len(tokens.starts))
-    for f in features:
-        e += w[f]
-    r, q = forward_backward(e, a, tokens.first, tokens.size)
+    r, q = forward_backward(_sum(w, features), a, tokens.first, tokens.size)
     return sigmoid(r + q)
 
 
