@@ -30,15 +30,20 @@ def cosine(v: Column, v_norm: Column, q: Sequence[float]) -> Column:
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Unit vector of dim (16 to 256; others are clamped) floats from SHA-256 of the text: a stand-in for a model that needs none."""
     dim = max(16, min(256, dim))
-    whole = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    # Arrays of one element bind what is used more than once, so that every digest is worked out once.
+    bind = lambda c, f: F.transform(F.array(c), f)[0]
+    blocks = F.sequence(F.lit(0), F.lit((dim - 1) // 16))
 
-    def block(b: Column) -> Column:
-        counter = F.concat(F.lpad(F.lower(F.hex(b * 16)), 2, "0"), F.lit("000000"))
-        digest = F.sha2(F.unhex(F.concat(whole, counter)), 256)
+    def numbers(digest: Column) -> Column:
         # Each pair of bytes, low byte first, is a number from 0 to 65535.
         word = lambda k: F.conv(F.concat(F.substring(digest, k * 4 + 3, 2), F.substring(digest, k * 4 + 1, 2)), 16, 10).cast("double")
         return F.array(*[(word(k) / 32767.5 - 1.0).cast("float") for k in range(16)])
 
-    raw = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 16)), block)), 1, dim)
-    scale = lambda v: F.transform(v, lambda x: (x * (F.lit(1.0) / norm(v)).cast("float")).cast("float"))
-    return F.transform(F.array(raw), lambda v: F.when(norm(v) > LEAST_NORM, scale(v)).otherwise(v))[0]
+    def block(whole: Column, b: Column) -> Column:
+        counter = F.concat(F.lpad(F.lower(F.hex(b * 16)), 2, "0"), F.lit("000000"))
+        return bind(F.sha2(F.unhex(F.concat(whole, counter)), 256), numbers)
+
+    whole = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    raw = bind(whole, lambda w: F.slice(F.flatten(F.transform(blocks, lambda b: block(w, b))), 1, dim))
+    scaled = lambda v, n: F.transform(v, lambda x: (x * (F.lit(1.0) / n).cast("float")).cast("float"))
+    return bind(raw, lambda v: bind(norm(v), lambda n: F.when(n > LEAST_NORM, scaled(v, n)).otherwise(v)))

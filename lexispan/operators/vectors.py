@@ -25,7 +25,8 @@ def embed(chunks: DataFrame, extensions: Sequence[str] | None = None, name: str
     """chunk_id, dim, norm, vec and updated_at_utc_ticks of the chunks with an allowed extension, of the first CHARS characters of each."""
     rows = chunks if extensions is None else chunks.where(F.lower("extension").isin([e.lower() for e in extensions]))
     vec = embedder(name)(F.substring("body", 1, CHARS), dim=dim, **options)
-    return rows.select("chunk_id", vec.alias("vec")).select("chunk_id", F.size("vec").alias("dim"), norm(F.col("vec")).alias("norm"), "vec", F.lit(now_ticks).cast("long").alias("updated_at_utc_ticks"))
+    # A generator of one row: what is derived from the vector, and filters on that, don't work it out again.
+    return rows.select("chunk_id", F.explode(F.array(vec)).alias("vec")).select("chunk_id", F.size("vec").alias("dim"), norm(F.col("vec")).alias("norm"), "vec", F.lit(now_ticks).cast("long").alias("updated_at_utc_ticks"))
 
 
 def prune(vectors: DataFrame, chunks: DataFrame, extensions: Sequence[str] | None) -> DataFrame:
