@@ -34,48 +34,55 @@ from lexispan.llm.common import shared_folder, written
 
 SUPPORT, SIZE, MIN_PAGES, TOLERANCE = 0.8, 3, 5, 0.01
 BROADCAST_BYTES, FLUSH = 32 << 20, 400_000
-TOKEN = re.compile(r"(?is)<script\b.*?</script\s*+>|<style\b.*?</style\s*+>|<!--.*?-->|<!?/?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|[^<\s]++|<")
+TAG = re.compile(r"(?is)<(?:script\b.*?</script\s*+>|style\b.*?</style\s*+>|!--.*?-->|!?/?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>)")
 NAME = re.compile(r"<!?/?[a-zA-Z][^\s>/]*")
 ATTRIBUTE = re.compile(r"[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SELF_CLOSING = {"p", "li", "tr", "td", "option"}
 
 
 def tokens(page: str) -> tuple[list[str], list[str | None]]:
     """Roles of all tokens of a page, and the words among them (None for what is no text)."""
     keys: list[str] = []
     words: list[str | None] = []
-    stack = ["", ""]
-    for t in TOKEN.findall(page):
-        if t[0] != "<" or t == "<":
-            keys.append(f"{stack[-1]} {t}")
-            words.append(t)
-            continue
+    stack, at, inside = ["", ""], 0, " "
+    for m in TAG.finditer(page):
+        if between := page[at : m.start()].split():
+            keys += [inside + w for w in between]
+            words += between
+        t, at = m[0], m.end()
         if t.startswith("<!--"):
-            keys.append(f"{stack[-1]} <!--")
+            keys.append(f"{inside}<!--")
             words.append(None)
             continue
         name = NAME.match(t)[0].lower()
-        if name[1] == "/":
-            at = len(stack) - 1
-            while at and stack[at] != name[2:]:
-                at -= 1
-            if at:
-                del stack[at:]
-            keys.append(f"{stack[-1]} {name}")
+        bare = name[1:]
+        if bare[0] == "/":
+            bare = bare[1:]
+            if bare in stack:
+                while stack.pop() != bare:
+                    pass
+                inside = stack[-1] + " "
+            keys.append(inside + name)
             words.append(None)
             continue
-        if name[1:] in ("p", "li", "tr", "td", "option") and stack[-1] == name[1:]:
+        if bare in SELF_CLOSING and stack[-1] == bare:
             stack.pop()
-        keys.append(f"{stack[-1]} {name}")
+            inside = stack[-1] + " "
+        keys.append(inside + name)
         words.append(None)
-        if name in ("<script", "<style") or name[1] == "!":
+        if name in ("<script", "<style") or bare[0] == "!":
             continue
         if len(t) > len(name) + 2:
             for a in ATTRIBUTE.findall(t[len(name) : -1]):
                 keys.append(f"{name} @{a}")
                 words.append(None)
-        if name[1:] not in VOID and not t.endswith("/>"):
-            stack.append(name[1:])
+        if bare not in VOID and not t.endswith("/>"):
+            stack.append(bare)
+            inside = bare + " "
+    if between := page[at:].split():
+        keys += [inside + w for w in between]
+        words += between
     return keys, words
 
 
@@ -86,9 +93,11 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None, str, str | None]]:
     for batch in batches:
-        extra = batch.column("payload") if "payload" in batch.schema.names else None
-        for i in range(batch.num_rows):
-            yield batch.column("page_id")[i].as_py(), batch.column("host")[i].as_py(), batch.column("html")[i].as_py(), extra[i].as_py() if extra is not None else None
+        extra = "payload" in batch.schema.names
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            columns = [part.column(k).to_pylist() for k in ("page_id", "host", "html")]
+            yield from zip(*columns, part.column("payload").to_pylist() if extra else [None] * part.num_rows)
 
 
 class _Payload:
