@@ -166,7 +166,8 @@ def search(chunks: DataFrame, index: DataFrame, stats: DataFrame, text: str, n:
     first = top(found, n, order)
     rows = F.broadcast(first).join(chunks, "chunk_id")  # n rows
     rows = rows.select(*chunks.columns, F.lit("text_fts").alias("hit_kind"), F.col("bm25").alias("rank_score"), F.col("bm25").alias("fts_score"), F.lit(None).cast("double").alias("vec_score"))
-    return hits(rows, file_state)
+    best = F.round("fts_score", 9)
+    return hits(rows, file_state).orderBy(best.desc() if order == "reference" else best, "hit_id")
 
 
 def _satisfiable(node) -> bool:

@@ -14,7 +14,7 @@ import shutil
 import time
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,6 +195,7 @@ class Index:
         self._tell(reindex_state="running", reindex_started_at=now(), reindex_error="", reindex_error_at="")
         try:
             config = self.settings()
+            config = replace(config, exclude_path_segments=[*config.exclude_path_segments, self.folder.split(os.sep)[0]])  # the index isn't part of what it indexes
             cfg = config.effective()
             work = os.path.join(self.path, f"work-{uuid.uuid4().hex}")
             listed = source.listing(self.spark, self.workspace, config).withColumn("reason", source.skip_reason(config, rules_of(self.workspace, config.ignore_files)))
