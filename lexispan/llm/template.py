@@ -323,7 +323,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     listed = lambda df, what: df.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(what))).alias("payload"))
     wanted = shared(listed(candidates(usable), "key"), "candidates")
-    first = shared(listed(classes(vectors(usable.join(wanted, "host"))), "keys"), "classes")
+    counted = written(vectors(usable.join(wanted, "host")), folder, "vectors")  # read twice, made once
+    first = shared(listed(classes(counted), "keys"), "classes")
     facts = relations(usable.join(first, "host")).groupBy("host").agg(F.to_json(F.collect_list(F.array("inner", "outer", "gap", "n"))).alias("facts"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
