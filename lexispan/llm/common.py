@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,14 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def apart(work: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """work on docs whose own columns of names in "__" are out of the way of the operator's, and have their names again in the result."""
+    away = {c: f"own{i}.{c}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+    if not away:
+        return work(docs)
+    return work(docs.toDF(*[away.get(c, c).replace(".", "·") for c in docs.columns])).withColumnsRenamed({v.replace(".", "·"): k for k, v in away.items()})
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Drops a folder of intermediate tables once nothing reads them."""
     jvm = spark.sparkContext._jvm

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispan.llm.common import apart
+
 BUCKETS, UNIT, OFFSET = 1024, 1_000_000, 618_034
 #: Production weights; any source not named has weight 1.
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
@@ -30,6 +32,11 @@ def sampled(docs: DataFrame, weights: dict[str, int] | None = None, offset: int
     return drawn(measured(docs), weights, offset).drop("__size", "__hash")
 
 
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, offset: int = OFFSET) -> DataFrame:
+    """Rows of docs, each as often as it is drawn, with the columns of docs."""
+    return apart(lambda d: sampled(d, weights, offset).drop("__copy"), docs)
+
+
 def drawn(docs: DataFrame, weights: dict[str, int] | None = None, offset: int = OFFSET) -> DataFrame:
     """As sampled, of a result of measured."""
     weights = WEIGHTS if weights is None else weights

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispan.llm.common import apart
+
 SYMBOLS, REPEATS, LOSS = 0.1, 0.3, 0.5
 NOISE = "!#$%&*|<>{}[]\\^~=+@_/"
 BOILERPLATE = ("licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum")
@@ -62,6 +64,10 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The documents that stay, with their cleaned text and, where there is such a column, its new length."""
+    return apart(lambda d: _cleaned(d, text, chars), docs)
+
+
+def _cleaned(docs: DataFrame, text: str, chars: str) -> DataFrame:
     out = judged(docs, text).where("__quality.kept").withColumn(text, F.col("__quality.text"))
     if chars in docs.columns:
         out = out.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexispan.llm.common import apart
+
 SHARDS = 32
 PLAN = T.StructType([T.StructField("__size", T.LongType()), T.StructField("__first", T.ArrayType(T.IntegerType())), T.StructField("__round", T.ArrayType(T.IntegerType()))])
 
@@ -62,7 +64,7 @@ def keyed_by_text(docs: DataFrame) -> DataFrame:
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with column __shard."""
-    return homed(keyed_by_text(docs), shards).drop("__key", "__chars")
+    return apart(lambda d: homed(keyed_by_text(d), shards).drop("__key", "__chars"), docs)
 
 
 def homed(keyed: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -66,10 +66,12 @@ def test_whole_run_against_single_steps(spark, tmp_path):
 
 def test_stages_pass_documents_on(spark):
     rows, toxic = corpus(random.Random(9))
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __ids string")
+    own = ["__v", "__size", "__copy", "__quality", "__source", "__turn", "__ids"]
+    docs = spark.createDataFrame([(*r, *(c + str(r[0]) for c in own)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
     for name, stage in corpus_pipeline.STAGES:
         if name == "toxicity":
             continue
         out = stage(spark, docs, "")
         assert name.startswith("SentencePiece") or out.columns == docs.columns, name
+        assert name.startswith("SentencePiece") or all(r[c] == c + str(r["doc_id"]) for r in out.collect() for c in own), name
         assert stage(spark, docs.limit(0), "").count() == 0, name
