@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexispan.functions.text import MARK
+from lexispan.operators.headers import HANDLER, PARAMETER
 from lexispan.plans.query import And, Or, Phrase, occurrences, parse
 
 EXTENSIONS = {"en": ".md", "de": ".cs", "fr": ".json", "es": ".toml"}
@@ -25,7 +26,7 @@ def parts(x: str) -> str:
 
 def expand(source: str, key: str, text: str, name: str) -> str:
     """CTE name: all of source with column body, text with its expansions."""
-    words = r"list_filter(regexp_extract_all(" + text + r", '[\p{L}\p{N}\p{M}_]+'), lambda w: regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*'))"
+    words = r"list_filter(regexp_extract_all(" + text + r", '[\p{L}\p{N}\p{M}_]+'), lambda w: regexp_full_match(w, '[_a-zA-Z][_a-zA-Z0-9]*'))"
     return f"""{name}_w AS (SELECT *, list_transform(list_filter(list_transform({words}, lambda w: {parts("w")}), lambda p: len(p) > 1), lambda p: array_to_string(p, ' ')) AS many FROM {source}),
 {name}_e AS (SELECT * EXCLUDE (many), list_filter(many, lambda e, i: list_position(many, e) = i) AS exps FROM {name}_w),
 {name} AS (SELECT * EXCLUDE (exps), CASE WHEN len(exps) > 0 THEN {text} || chr(10) || '{MARK}camel:' || chr(10) || array_to_string(exps, chr(10)) || chr(10) ELSE {text} END AS body FROM {name}_e)"""
@@ -115,10 +116,10 @@ def _line(directive: str, rest: str) -> str:
 RAZOR_TAGS = " || ".join([
     f"['{MARK}kind:razor']", rf"CASE WHEN regexp_matches(text, '(?m)^\s*@code\b') THEN ['{MARK}razor:has_code_block'] ELSE [] END",
     _tags("page", _line("page", r"(.+?)\s*$"), then="trim(x, '\"')"), _tags("layout", _line("layout", r"(\S+)\s*$")), _tags("namespace", _line("namespace", r"(\S+)\s*$"), cap=4),
-    _tags("using", _line("using", r"([^\r\n]+?)\s*$"), cap=40), _tags("implements", _line("implements", r"(.+?)\s*$")), _tags("inherits", _line("inherits", r"(\S+)\s*$")),
-    _tags("typeparam", _line("typeparam", r"(\w+)\s*$")), _tags("handler", r"\b@(on[a-z]+)\b", distinct="case"), _tags("attribute", _line("attribute", r"\[([^\]]+)\]"), cap=24),
+    _tags("using", _line("using", r"(.+?)\s*$"), cap=40), _tags("implements", _line("implements", r"(.+?)\s*$")), _tags("inherits", _line("inherits", r"(\S+)\s*$")),
+    _tags("typeparam", _line("typeparam", r"(\w+)\s*$")), _tags("handler", HANDLER, distinct="case"), _tags("attribute", _line("attribute", r"\[([^\]]+)\]"), cap=24),
     _pairs("inject", _line("inject", r"(\S+)\s+(\S+)\s*$"), 32, " "),
-    "list_filter(" + _tags("parameter", r"(?s)\[\s*Parameter(?:\([^\]]*\))?\s*\]\s*(?:public\s+)?[\w<>,\[\]\s.]+\s+(\w+)\s*\{", cap=48) + ", lambda x: regexp_matches(x, ':[A-Z]'))",
+    "list_filter(" + _tags("parameter", PARAMETER, cap=48) + ", lambda x: regexp_matches(x, ':[A-Z]'))",
     _tags("component", r"<([A-Z][A-Za-z0-9_.]+)\b", cap=50, distinct="exact"),
 ])
 AXAML_TAGS = " || ".join([

@@ -9,7 +9,7 @@ import tomllib
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-INDEXED = (".md", ".mdx", ".csproj", ".slnx", ".props", ".targets", ".toml", ".editorconfig", ".json", ".yml", ".yaml", ".razor", ".css", ".scss", ".html", ".axaml", ".cs")
+INDEXED = tuple("." + e for e in "axaml cs csproj css editorconfig html json md mdx props razor scss slnx targets toml yaml yml".split())
 MAX_BYTES, CHUNK, OVERLAP, PROBE = 524288, 110, 15, 8192
 
 
@@ -28,7 +28,7 @@ def normal(extensions: list[str] | tuple[str, ...] | None) -> list[str]:
 class Settings:
     extra_include_roots: list[str] = field(default_factory=list)
     exclude_roots: list[str] = field(default_factory=list)
-    exclude_path_segments: list[str] = field(default_factory=lambda: ["bin", "obj", ".git", "node_modules", ".vs", ".idea", ".cache"])
+    exclude_path_segments: list[str] = field(default_factory=lambda: ".cache .git .idea .vs bin node_modules obj".split())
     ignore_files: list[str] = field(default_factory=lambda: [".gitignore", ".git/info/exclude"])
     include_cs_in_fts: bool = True
     include_extensions: list[str] = field(default_factory=lambda: list(INDEXED))

@@ -77,7 +77,7 @@ def fts(queries):
     for i, b in enumerate(BODIES):
         con.execute("insert into c(rowid, path, body) values (?, ?, ?)", (i, f"src/f{i}.md", b))
     for q in queries:
-        yield {r[0]: r[1:] for r in con.execute("select rowid, bm25(c), snippet(c, 4, '[', ']', ' … ', 24) from c where c match ?", (q,))}
+        yield {r[0]: r[1:] for r in con.execute("select rowid, bm25(c), snippet(c, ?, ?, ?, ?, ?) from c where c match ?", (4, "[", "]", " … ", 24, q))}
 
 
 SEARCHES = {"the": '"the"*', "the cat": '"the"* AND "cat"*', "foo.bar": '"foo.bar"*', "f1": '"f1"* OR ("f"* AND "1"*)', "nai": '"nai"*', "the end mat": '"the"* AND "end"* AND "mat"*', "src": '"src"*', "nandu": '"nandu"*', "zzz": '"zzz"*'}
