@@ -9,7 +9,7 @@ components of likeness. Every document is a query.
    share 1 - (1 - j ** DEPTH) ** TRIES, 92 % at 0.5, 99.6 % at 0.6, 99.99 % at 0.7. Nothing is capped: all sets of a path
    are linked to the least of them, so the links grow with the texts and not with the pairs.
 2. Linked texts form components (large star and small star by turns, each round a table in the shared folder).
-3. The texts of a component come together once. Their sets, most frequent grams first, are stored in a prefix tree whose unbranched
+3. The texts of a component come together once, and part at once by their rare grams (prefix filter, which loses no pair). Their sets, most frequent grams first, are stored in a prefix tree whose unbranched
    stretches are one node. Each set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining
    lengths cannot reach the threshold or all their sets are already in the group of the walking set. What is
    found here is exact: a component falls apart into its true groups.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import BASE, gram_sets, mixed, shared_folder, slices, utf8, written
+from lexispan.llm.common import BASE, apart, gram_sets, mixed, remove, shared_folder, slices, utf8, written
 
 N, THRESHOLD, TRIES, DEPTH = 2, 0.5, 40, 4
 
@@ -71,7 +71,7 @@ class _Node:
         self.uniform = False
 
 
-def _tree(sets: list[np.ndarray], order: list[int]) -> _Node:
+def _tree(sets: dict[int, np.ndarray], order: list[int]) -> _Node:
     """Prefix tree of sorted sets given in lexicographic order; a node holds the grams of an unbranched stretch."""
     root = _Node(np.zeros(0, np.int64), 0)
     path, last = [root], np.zeros(0, np.int64)
@@ -106,19 +106,61 @@ def _tree(sets: list[np.ndarray], order: list[int]) -> _Node:
     return root
 
 
+def _find(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def parts(grams: list[np.ndarray], threshold: float) -> list[list[int]]:
+    """Sets that may be alike, together.
+
+    With the rarest grams first, let a gram have r grams of a set of n from it on. Of two sets that reach the threshold, the first gram that they share has
+    r >= share * (n + m) in both, m being the size of the other; in the smaller set so r >= 2 * share * n. All sets in which a gram is such are put
+    together, and any other joins the smallest of them if its own r allows: no pair is lost, and no pair is looked at."""
+    some = [i for i, g in enumerate(grams) if len(g)]
+    if len(some) < 3:
+        return [some]
+    size = np.array([len(grams[i]) for i in some])
+    words, index, freq = np.unique(np.concatenate([grams[i] for i in some]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(words), np.int64)
+    rank[np.lexsort((words, freq))] = np.arange(len(words))
+    owner = np.repeat(np.arange(len(some)), size)
+    order = np.lexsort((rank[index], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    n = np.repeat(size, size)
+    share, left = threshold / (1 + threshold), n - place + 1e-9
+    first = left >= threshold * n
+    gram, owner, n, left = index[order][first], owner[first], n[first], left[first]
+    small = left >= 2 * share * n
+    order = np.lexsort((n, ~small, gram))
+    gram, owner, n, left, small = (x[order] for x in (gram, owner, n, left, small))
+    head = np.arange(len(gram))
+    head[1:][gram[1:] == gram[:-1]] = 0
+    head = np.maximum.accumulate(head)
+    tie = small[head] & (small | (left >= share * (n + n[head]))) & (head != np.arange(len(gram)))
+    parent = list(range(len(some)))
+    for a, b in np.unique(np.stack([owner[head[tie]], owner[tie]], 1), axis=0).tolist():
+        a, b = _find(parent, a), _find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    out: dict[int, list[int]] = {}
+    for k, i in enumerate(some):
+        out.setdefault(_find(parent, k), []).append(i)
+    return list(out.values())
+
+
 def joined(grams: list[np.ndarray], threshold: float = THRESHOLD) -> list[int]:
     """Group of each set: the least index of those connected with it by pairs that reach the threshold. Sets are distinct grams; empty ones stay alone."""
     parent = list(range(len(grams)))
+    for part in parts(grams, threshold):
+        if len(part) > 1:
+            _join(part, grams, parent, threshold)
+    return [_find(parent, i) for i in range(len(grams))]
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    some = [i for i, g in enumerate(grams) if len(g)]
-    if len(some) < 2:
-        return parent
+def _join(some: list[int], grams: list[np.ndarray], parent: list[int], threshold: float) -> None:
+    """Walks the prefix tree of some sets and unites those that reach the threshold in parent."""
     words, index, freq = np.unique(np.concatenate([grams[i] for i in some]), return_inverse=True, return_counts=True)
     rank = np.empty(len(words), np.int64)
     rank[np.lexsort((words, -freq))] = np.arange(len(words))
@@ -136,7 +178,7 @@ def joined(grams: list[np.ndarray], threshold: float = THRESHOLD) -> list[int]:
         seen = []
         while todo:
             node, overlap = todo.pop()
-            if node.uniform and find(node.any) == find(i) or node.high < n * threshold or node.low * threshold > n:
+            if node.uniform and _find(parent, node.any) == _find(parent, i) or node.high < n * threshold or node.low * threshold > n:
                 continue
             if len(node.grams):
                 overlap += int(np.count_nonzero(inside[node.grams]))
@@ -145,16 +187,15 @@ def joined(grams: list[np.ndarray], threshold: float = THRESHOLD) -> list[int]:
                     continue
             for j in node.leaves:
                 if j != i and overlap >= threshold * (n + len(sets[j]) - overlap) - 1e-9:
-                    a, b = find(i), find(j)
+                    a, b = _find(parent, i), _find(parent, j)
                     parent[max(a, b)] = min(a, b)
             seen.append(node)
             todo += [(c, overlap) for c in node.children]
         for node in reversed(seen):
             if not node.uniform and all(c.uniform for c in node.children):
-                of = find(node.any)
-                node.uniform = all(find(j) == of for j in node.leaves) and all(find(c.any) == of for c in node.children)
+                of = _find(parent, node.any)
+                node.uniform = all(_find(parent, j) == of for j in node.leaves) and all(_find(parent, c.any) == of for c in node.children)
         inside[s] = False
-    return [find(i) for i in range(len(grams))]
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -201,6 +242,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         small = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
         pairs = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.*").where("a > b").distinct()
         now = written(pairs, folder, f"edges{k}")
+        remove(now.sparkSession, f"{folder}/edges{k - 1}")
     return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct())
 
 
@@ -256,6 +298,10 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
 
 def thinned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group, that of the least doc_id, and of equal ones that of the least hash of the text; rows in no group stay."""
+    return apart(lambda d: _thinned(d, n, threshold), docs)
+
+
+def _thinned(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     rows = texts_in_groups(docs, folder, n, threshold)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__v", "__w")
@@ -266,3 +312,4 @@ def thinned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     turn = F.row_number().over(Window.partitionBy("__v", "__w", "doc_id").orderBy(F.lit(1)))
     stays = F.col("__first").isNull() | ((F.col("__first.__v") == F.col("__v")) & (F.col("__first.__w") == F.col("__w")) & F.col("__first.doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__turn") == 1))
     return judged.withColumn("__turn", turn).where(stays).drop("__v", "__w", "__first", "__turn")
+

@@ -29,8 +29,18 @@ def test_tree_join_is_exact():
             for _ in range(rng.randint(0, 8)):
                 s ^= {rng.randrange(80)}
             sets.append(s)
-        got = jaccard.joined([np.array(sorted(s), dtype=np.uint64) for s in sets], 0.5)
-        assert got == brute(sets, 0.5)
+        for threshold in (0.5, 0.8, 0.3):
+            got = jaccard.joined([np.array(sorted(s), dtype=np.uint64) for s in sets], threshold)
+            assert got == brute(sets, threshold)
+
+
+def test_a_shared_passage_does_not_keep_sets_together():
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    passage = draw(40)
+    sets = [np.unique(np.concatenate([passage, draw(int(rng.integers(30, 60)))])) for _ in range(300)]
+    parts = jaccard.parts(sets, 0.5)
+    assert max(map(len, parts)) < 30 and sorted(i for p in parts for i in p) == list(range(300))
 
 
 def words(rng, n):
