@@ -28,4 +28,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.SQL, "op4_sharding": sharding.ASSIGNMENT_SQL, "op7_mixing": mixing.MANIFEST_SQL, "op8_quality_rules": quality.REPORT_SQL}
+    return {
+        "op2_embedding_dedup": neargraph.GROUPS_SQL,
+        "op3_chat_format": chat.SQL,
+        "op4_sharding": sharding.ASSIGNMENT_SQL,
+        "op5_jaccard_join": jaccard.GROUPS_SQL,
+        "op7_mixing": mixing.MANIFEST_SQL,
+        "op8_quality_rules": quality.REPORT_SQL,
+    }

@@ -313,3 +313,16 @@ def _thinned(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     stays = F.col("__first").isNull() | ((F.col("__first.__v") == F.col("__v")) & (F.col("__first.__w") == F.col("__w")) & F.col("__first.doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__turn") == 1))
     return judged.withColumn("__turn", turn).where(stays).drop("__v", "__w", "__first", "__turn")
 
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The same groups by comparing all pairs, for N = 2.
+GROUPS_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= {THRESHOLD}e0 * (x.n + y.n - k)),
+r AS (SELECT DISTINCT a, a AS m FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.m),
+h AS (SELECT a AS doc_id, min(m) AS group_id FROM r GROUP BY a)
+SELECT group_id, list(doc_id ORDER BY doc_id) AS doc_ids FROM h GROUP BY group_id
+"""
