@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: groups of documents whose sets of word n-grams reach Jaccard similarity THRESHOLD, by prefix-tree join.
+"""N-gram Jaccard join: groups of documents whose sets of word n-grams reach Jaccard similarity THRESHOLD. Candidates come from MinHash banding, so the
+search is not exhaustive; what is compared is compared exactly, by prefix-tree join.
 
 Two documents are alike if |A and B| / |A or B| of their sets of N-word grams is at least THRESHOLD; groups are the connected
 components of likeness. Every document is a query.
 
-1. Every distinct text becomes its n-gram set in a global order (by 64-bit hash). The hash space is cut in TRIES times DEPTH
-   stripes; the first gram of each of DEPTH stripes is the upper path of the set in one of TRIES prefix trees (a stripe without
-   grams takes the least of all grams in an order of its own). Sets that share an upper path meet: of pairs at Jaccard j the
-   share 1 - (1 - j ** DEPTH) ** TRIES, 92 % at 0.5, 99.6 % at 0.6, 99.99 % at 0.7. Nothing is capped: all sets of a path
-   are linked to the least of them, so the links grow with the texts and not with the pairs.
+1. Every distinct text becomes its n-gram set in a global order (by 64-bit hash). One-permutation MinHash: the hash space is cut in TRIES times
+   DEPTH stripes; the first gram of each of DEPTH stripes makes one of TRIES bands of the set (a stripe without grams takes the least of
+   all grams in an order of its own). Sets that share a band meet: of pairs at Jaccard j the share 1 - (1 - j ** DEPTH) ** TRIES, 92 %
+   at 0.5, 99.6 % at 0.6, 99.99 % at 0.7. A pair that shares no band and isn't linked through others is never compared. All sets of a
+   band are linked to the least of them, so the links grow with the texts and not with the pairs.
 2. Linked texts form components (large star and small star by turns, each round a table in the shared folder).
 3. The texts of a component come together once, and part at once by their rare grams (prefix filter, which loses no pair). Their sets, most frequent grams first, are stored in a prefix tree whose unbranched
    stretches are one node. Each set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining
@@ -35,7 +36,7 @@ N, THRESHOLD, TRIES, DEPTH = 2, 0.5, 40, 4
 
 
 def upper_paths(grams: np.ndarray, at: np.ndarray, tries: int = TRIES, depth: int = DEPTH) -> np.ndarray:
-    """Hash of the upper path of each set in each prefix tree: rows times tries. Grams are sorted within each set."""
+    """Hash of each MinHash band of each set: rows times tries. Grams are sorted within each set."""
     count, bins = len(at) - 1, tries * depth
     size = np.diff(at)
     row = np.repeat(np.arange(count), size)
