@@ -83,6 +83,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "chunk_count_by_ext": (lambda s, d: chunks(s, d).groupBy("extension").agg(F.count("*").alias("n_chunks"), F.countDistinct("path").alias("n_files")), f"WITH {oracle.CHUNKS} SELECT extension, count(*) AS n_chunks, count(DISTINCT path) AS n_files FROM c GROUP BY extension"),
     "tokenize_terms": (lambda s, d: lexical.postings(chunks(s, d)).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.sum("tf").alias("cf")), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, unnest(list_concat(pt, bt)) AS term FROM t) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM u GROUP BY term"),
     "postings_df": (lambda s, d: lexical.postings(chunks(s, d)).where("term LIKE 'th%'").select("term", "col", "chunk_id", "tf", F.element_at("positions", 1).alias("first_pos")), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, 0::TINYINT AS col, unnest(pt) AS term, generate_subscripts(pt, 1) AS i FROM t UNION ALL SELECT chunk_id, 1::TINYINT, unnest(bt), generate_subscripts(bt, 1) FROM t) SELECT term, col, chunk_id, count(*)::INT AS tf, (min(i) - 1)::INT AS first_pos FROM u WHERE term LIKE 'th%' GROUP BY term, col, chunk_id"),
+    "postings_all": (lambda s, d: lexical.postings(chunks(s, d)).select("term", "col", "chunk_id", "tf", "positions"), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, 0::TINYINT AS col, unnest(pt) AS term, generate_subscripts(pt, 1) AS i FROM t UNION ALL SELECT chunk_id, 1::TINYINT, unnest(bt), generate_subscripts(bt, 1) FROM t) SELECT term, col, chunk_id, count(*)::INT AS tf, list((i - 1)::INT ORDER BY i) AS positions FROM u GROUP BY term, col, chunk_id"),
     "corpus_stats": (lambda s, d: lexical.corpus_stats(lexical.chunk_stats(chunks(s, d))).select("n_chunks", F.round("avgdl", 6).alias("avgdl")), f"WITH {oracle.TERMS} SELECT count(*) AS n_chunks, round(sum(len(pt) + len(bt))::DOUBLE / count(*), 6) AS avgdl FROM t"),
     "match_prefix_single": (_matches(PREFIX), _matches_sql(PREFIX)),
     "match_and": (_matches(TWO), _matches_sql(TWO)),

@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 
+from lexispan import catalog
 from lexispan.operators import chunking, lexical, vectors
 from lexispan.plans.query import parse
 
@@ -41,3 +43,15 @@ def test_top_k_is_a_bounded_sort_without_python(tables):
 def test_chunking_and_postings_stay_in_the_jvm(tables):
     for df in (tables["chunks"], lexical.postings(tables["chunks"]), lexical.chunk_stats(tables["chunks"])):
         assert "Python" not in plan(df) and "Arrow" not in plan(df)
+
+
+def test_the_postings_query_returns_every_term_and_position(spark):
+    at = "/root/testdata/sf0.001"
+    query, sql = catalog.QUERIES["postings_all"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    want = sorted((*r[:4], tuple(r[4])) for r in db.execute(sql).fetchall())
+    rows = query(spark, at).collect()
+    assert sorted((*r[:4], tuple(r["positions"])) for r in rows) == want
+    assert sum(len(r["positions"]) for r in rows) == lexical.chunk_stats(catalog.chunks(spark, at)).agg({"n_tokens": "sum"}).first()[0]
+    assert any(not r["term"].startswith("th") for r in rows) and any(len(r["positions"]) > 1 for r in rows)
