@@ -189,6 +189,11 @@ def dummy_embed(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("chunk_id", "dim", F.round("norm", 5).alias("norm"), *[F.round(F.col("vec")[i].cast("double"), 5).alias(f"v{i}") for i in (0, 17, 63)])
 
 
+def dummy_embed_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = vectors.embed(chunks(spark, sf))
+    return e.select("chunk_id", "dim", F.round("norm", 5).alias("norm"), F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
+
+
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
     lex = lexical.top(lexical.scored(lexical.postings(c), lexical.chunk_stats(c), lexical.parse(TWO)), 15)
@@ -236,6 +241,7 @@ QUERIES |= {
     "incremental_merge": (merged, f"{_STATES_SQL} SELECT * FROM n"),
     "vec_norms": (lambda s, d: stored(s, d).select("chunk_id", "dim", F.round("norm", 6).alias("norm")), f"SELECT vec_id AS chunk_id, len(embedding)::INT AS dim, round({oracle.norm('embedding')}, 6) AS norm FROM embeddings"),
     "dummy_embed": (dummy_embed, f"WITH {oracle.CHUNKS}, w AS (SELECT chunk_id, {oracle.embedding('body[1:4000]')} AS raw FROM c WHERE extension IN ('.md', '.cs')), v AS (SELECT chunk_id, {oracle.unit('raw')} AS v FROM w) SELECT chunk_id, len(v)::INT AS dim, round({oracle.norm('v')}, 5) AS norm, " + ", ".join(f"round(v[{i + 1}]::DOUBLE, 5) AS v{i}" for i in (0, 17, 63)) + " FROM v"),
+    "dummy_embed_all": (dummy_embed_all, f"WITH {oracle.CHUNKS}, w AS (SELECT chunk_id, {oracle.embedding('body[1:4000]')} AS raw FROM c), v AS (SELECT chunk_id, {oracle.unit('raw')} AS v FROM w) SELECT chunk_id, len(v)::INT AS dim, round({oracle.norm('v')}, 5) AS norm, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS vec FROM v"),
     "cosine_topk": (cosine_topk, f"{_NEAR_SQL} {_TOP_SQL} 50"),
     "vec_allowed_ext": (vec_allowed_ext, f"{_NEAR_SQL} WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')) {_TOP_SQL} 20"),
     "vec_prune_orphans": (lambda s, d: vectors.prune(stored(s, d), _as_chunks(s, d), [".md"]).select("chunk_id", "dim"), "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),

@@ -55,3 +55,14 @@ def test_the_postings_query_returns_every_term_and_position(spark):
     assert sorted((*r[:4], tuple(r["positions"])) for r in rows) == want
     assert sum(len(r["positions"]) for r in rows) == lexical.chunk_stats(catalog.chunks(spark, at)).agg({"n_tokens": "sum"}).first()[0]
     assert any(not r["term"].startswith("th") for r in rows) and any(len(r["positions"]) > 1 for r in rows)
+
+
+def test_the_embedding_query_returns_whole_vectors_of_all_chunks(spark):
+    at = "/root/testdata/sf0.001"
+    query, sql = catalog.QUERIES["dummy_embed_all"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(sql).fetchall()}
+    got = {r["chunk_id"]: (r["dim"], r["norm"], r["vec"]) for r in query(spark, at).collect()}
+    assert got.keys() == want.keys() and len(got) == catalog.chunks(spark, at).count()
+    assert all(len(v) == 64 == d and n == want[c][1] and v == pytest.approx(want[c][2], abs=2e-5) for c, (d, n, v) in got.items())
