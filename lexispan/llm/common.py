@@ -133,23 +133,27 @@ def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray = WORD) ->
     return stretch_hashes(*rolling(data), starts, ends), rows
 
 
-def gram_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of every row, one row after the other, and their offsets. A row of 1 to n - 1 words has one gram, of them all."""
-    words, rows = word_hashes(data, at)
-    count = len(at) - 1
+def gram_instances(words: np.ndarray, rows: np.ndarray, count: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of words, whose rows are in order: hash, row, first word and number of words. A row of 1 to n - 1 words has one gram, of them all."""
     per = np.bincount(rows, minlength=count)
     first = np.concatenate([[0], np.cumsum(per)])
     width = np.minimum(per, n)
-    grams_per = np.where(per > 0, per - width + 1, 0)
-    owner = np.repeat(np.arange(count), grams_per)
-    where = np.arange(len(owner)) - np.repeat(np.cumsum(grams_per) - grams_per, grams_per) + first[owner]
+    many = np.where(per > 0, per - width + 1, 0)
+    owner = np.repeat(np.arange(count), many)
+    where = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
     grams = np.zeros(len(owner), dtype=np.uint64)
-    for k in range(n):
+    for k in range(n if len(owner) else 0):
         use = k < width[owner]
-        grams = np.where(use, mixed(grams * BASE + words[np.minimum(where + k, max(len(words) - 1, 0))] + np.uint64(k + 1)), grams) if len(owner) else grams
-    order = np.lexsort((grams, owner)) if len(owner) else np.zeros(0, np.int64)
+        grams = np.where(use, mixed(grams * BASE + words[np.minimum(where + k, len(words) - 1)] + np.uint64(k + 1)), grams)
+    return grams, owner, where, width[owner]
+
+
+def gram_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes of every row, one row after the other, and their offsets."""
+    count = len(at) - 1
+    grams, owner, *_ = gram_instances(*word_hashes(data, at), count, n)
+    order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    return grams, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))]).astype(np.int64)
+    return grams[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=count))]).astype(np.int64)

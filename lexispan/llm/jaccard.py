@@ -1,24 +1,24 @@
-"""N-gram Jaccard join: groups of documents whose sets of word n-grams reach Jaccard similarity THRESHOLD. Candidates come from MinHash banding, so the
-search is not exhaustive; what is compared is compared exactly, by prefix-tree join.
-
-Two documents are alike if |A and B| / |A or B| of their sets of N-word grams is at least THRESHOLD; groups are the connected
-components of likeness. Every document is a query.
-
-1. Every distinct text becomes its n-gram set in a global order (by 64-bit hash). One-permutation MinHash: the hash space is cut in TRIES times
-   DEPTH stripes; the first gram of each of DEPTH stripes makes one of TRIES bands of the set (a stripe without grams takes the least of
-   all grams in an order of its own). Sets that share a band meet: of pairs at Jaccard j the share 1 - (1 - j ** DEPTH) ** TRIES, 92 %
-   at 0.5, 99.6 % at 0.6, 99.99 % at 0.7. A pair that shares no band and isn't linked through others is never compared. All sets of a
-   band are linked to the least of them, so the links grow with the texts and not with the pairs.
-2. Linked texts form components (large star and small star by turns, each round a table in the shared folder).
-3. The texts of a component come together once, and part at once by their rare grams (prefix filter, which loses no pair). Their sets, most frequent grams first, are stored in a prefix tree whose unbranched
-   stretches are one node. Each set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining
-   lengths cannot reach the threshold or all their sets are already in the group of the walking set. What is
-   found here is exact: a component falls apart into its true groups.
-
-Copies of one text are collapsed first, so thousands of copies cost no more than one; texts are told apart by two 64-bit hashes.
-A null text and one without words are in no group. A text of 1 to N - 1 words has one gram of all of them. Very long
-texts are compared whole. Null doc_ids are listed last and lose to any other. Repeated rows are copies like any other. Only doc_id and text
-are used, and columns of any other name pass through onto what is kept. No rows, no groups.
+"""N-gram Jaccard join by prefix trees, without loss: documents whose sets of word n-grams reach Jaccard similarity THRESHOLD, their classes and links.
+
+Two documents are alike if |A and B| / |A or B| of their sets of N-word grams is at least THRESHOLD; classes are the connected components of likeness.
+Every document is a query, and no link between different texts is lost.
+
+1. Order. Grams get one global order, rarest first as far as two tables of COUNTERS counts of all documents tell (of words and of grams, by hash; fixed
+   in size whatever the input): a gram that is more frequent than its counter's share of all grams comes late, others go by how frequent their words are.
+   Any order is right; a good one is fast.
+2. Top of the tree. In this order the first gram that two alike sets share leaves at least THRESHOLD / (1 + THRESHOLD) * (n + m) grams from it on in both, so
+   only the grams of the first part of a set (its prefix) open a bucket. In every bucket each set is linked to the smallest one if remaining lengths allow.
+3. These links are verified in prefix trees: sets, most frequent grams first, are stored in a tree whose unbranched stretches are one node, BLOCK at a time;
+   the smaller set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining lengths cannot reach the threshold.
+   Verified links make classes.
+4. What is left are pairs of different classes that share a bucket and whose remaining lengths allow a link; they are verified in the same way, and classes that are linked
+   become one. Of a bucket of too many such pairs (over FEW for each set) no pair is put out: it is cut in blocks, and each of its sets walks the tree of each.
+5. n_links counts the other texts that a text is alike with: its class is walked in blocks, each set against the tree of each block.
+
+Copies of one text are collapsed first, so thousands of copies cost no more than one; texts are told apart by two 64-bit hashes, grams by one.
+A null text and one without words are in no class. A text of 1 to N - 1 words has one gram of all of them. Very long
+texts are compared whole. Null doc_ids lose to any other and are never a group_id unless all are null. Repeated rows are copies like any other. Only doc_id and text
+are used, and columns of any other name pass through onto what is kept. No rows, no classes.
 """
 
 from __future__ import annotations
@@ -30,49 +30,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import BASE, apart, gram_sets, mixed, remove, shared_folder, slices, utf8, written
-
-N, THRESHOLD, TRIES, DEPTH = 2, 0.5, 40, 4
-
-
-def upper_paths(grams: np.ndarray, at: np.ndarray, tries: int = TRIES, depth: int = DEPTH) -> np.ndarray:
-    """Hash of each MinHash band of each set: rows times tries. Grams are sorted within each set."""
-    count, bins = len(at) - 1, tries * depth
-    size = np.diff(at)
-    row = np.repeat(np.arange(count), size)
-    stripe = (((grams >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-    first = np.ones(len(grams), dtype=bool)
-    first[1:] = (stripe[1:] != stripe[:-1]) | (row[1:] != row[:-1])
-    least = np.zeros((count, bins), dtype=np.uint64)
-    full = np.zeros((count, bins), dtype=bool)
-    least[row[first], stripe[first]] = grams[first]
-    full[row[first], stripe[first]] = True
-    full[size == 0] = True
-    holes, where = np.nonzero(~full)
-    for lo in range(0, len(holes), 4096):
-        r, b = holes[lo : lo + 4096], where[lo : lo + 4096]
-        many = size[r]
-        start = np.cumsum(many) - many
-        value = mixed(grams[np.arange(many.sum()) + np.repeat(at[:-1][r] - start, many)] + np.repeat(mixed(b.astype(np.uint64) + np.uint64(1)), many))
-        least[r, b] = np.minimum.reduceat(value, start)
-    path = np.broadcast_to(np.arange(tries, dtype=np.uint64), (count, tries)).copy()
-    for d in range(depth):
-        path = mixed(path * BASE + least[:, d::depth] + np.uint64(1))
-    return path.view(np.int64)
+from lexispan.llm.common import BASE, apart, gram_instances, gram_sets, mixed, remove, shared_folder, slices, utf8, word_hashes, written
+
+N, THRESHOLD = 2, 0.5
+#: Counts in each of the two tables that make the order; what is broadcast is 3 bytes for each.
+COUNTERS, STRIDE = 1 << 20, 1 << 16
+#: Sets in one prefix tree; pairs for each set of a bucket beyond which it is walked in blocks; sets of a bucket that are held at once.
+BLOCK, FEW, HELD = 256, 64, 1 << 20
+#: Keys or labels that are broadcast, if a count finds no more of them; beyond that they are joined by shuffle.
+BROADCAST_ROWS = 1 << 18
+KEY = ("v", "w")
+#: Whether a text has words.
+_WORDS = "text RLIKE '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'"
+ENTRY = "gram long, v long, w long, n int, left int"
 
 
 class _Node:
-    __slots__ = ("children", "leaves", "low", "high", "grams", "end", "any", "uniform")
+    __slots__ = ("children", "leaves", "low", "high", "grams", "end")
 
     def __init__(self, grams: np.ndarray, end: int):
         self.children: list[_Node] = []
         self.leaves: list[int] = []
         self.grams, self.end = grams, end
-        self.low = self.high = self.any = -1
-        self.uniform = False
+        self.low = self.high = -1
 
 
-def _tree(sets: dict[int, np.ndarray], order: list[int]) -> _Node:
+def _tree(sets: list[np.ndarray], order: list[int]) -> _Node:
     """Prefix tree of sorted sets given in lexicographic order; a node holds the grams of an unbranched stretch."""
     root = _Node(np.zeros(0, np.int64), 0)
     path, last = [root], np.zeros(0, np.int64)
@@ -102,101 +85,44 @@ def _tree(sets: dict[int, np.ndarray], order: list[int]) -> _Node:
         todo += node.children
     for node in reversed(nodes):
         sizes = [node.end] * bool(node.leaves) + [c.low for c in node.children]
-        node.low, node.high = min(sizes), max([node.end] * bool(node.leaves) + [c.high for c in node.children])
-        node.any = node.leaves[0] if node.leaves else node.children[0].any
+        node.low, node.high = min(sizes, default=0), max([node.end] * bool(node.leaves) + [c.high for c in node.children], default=0)
     return root
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def parts(grams: list[np.ndarray], threshold: float) -> list[list[int]]:
-    """Sets that may be alike, together.
-
-    With the rarest grams first, let a gram have r grams of a set of n from it on. Of two sets that reach the threshold, the first gram that they share has
-    r >= share * (n + m) in both, m being the size of the other; in the smaller set so r >= 2 * share * n. All sets in which a gram is such are put
-    together, and any other joins the smallest of them if its own r allows: no pair is lost, and no pair is looked at."""
-    some = [i for i, g in enumerate(grams) if len(g)]
-    if len(some) < 3:
-        return [some]
-    size = np.array([len(grams[i]) for i in some])
-    words, index, freq = np.unique(np.concatenate([grams[i] for i in some]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(words), np.int64)
-    rank[np.lexsort((words, freq))] = np.arange(len(words))
-    owner = np.repeat(np.arange(len(some)), size)
-    order = np.lexsort((rank[index], owner))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-    n = np.repeat(size, size)
-    share, left = threshold / (1 + threshold), n - place + 1e-9
-    first = left >= threshold * n
-    gram, owner, n, left = index[order][first], owner[first], n[first], left[first]
-    small = left >= 2 * share * n
-    order = np.lexsort((n, ~small, gram))
-    gram, owner, n, left, small = (x[order] for x in (gram, owner, n, left, small))
-    head = np.arange(len(gram))
-    head[1:][gram[1:] == gram[:-1]] = 0
-    head = np.maximum.accumulate(head)
-    tie = small[head] & (small | (left >= share * (n + n[head]))) & (head != np.arange(len(gram)))
-    parent = list(range(len(some)))
-    for a, b in np.unique(np.stack([owner[head[tie]], owner[tie]], 1), axis=0).tolist():
-        a, b = _find(parent, a), _find(parent, b)
-        parent[max(a, b)] = min(a, b)
-    out: dict[int, list[int]] = {}
-    for k, i in enumerate(some):
-        out.setdefault(_find(parent, k), []).append(i)
-    return list(out.values())
-
-
-def joined(grams: list[np.ndarray], threshold: float = THRESHOLD) -> list[int]:
-    """Group of each set: the least index of those connected with it by pairs that reach the threshold. Sets are distinct grams; empty ones stay alone."""
-    parent = list(range(len(grams)))
-    for part in parts(grams, threshold):
-        if len(part) > 1:
-            _join(part, grams, parent, threshold)
-    return [_find(parent, i) for i in range(len(grams))]
-
-
-def _join(some: list[int], grams: list[np.ndarray], parent: list[int], threshold: float) -> None:
-    """Walks the prefix tree of some sets and unites those that reach the threshold in parent."""
-    words, index, freq = np.unique(np.concatenate([grams[i] for i in some]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(words), np.int64)
-    rank[np.lexsort((words, -freq))] = np.arange(len(words))
-    sets, lo = {}, 0
-    for i in some:
-        sets[i] = np.sort(rank[index[lo : lo + len(grams[i])]])
-        lo += len(grams[i])
-    root = _tree(sets, sorted(some, key=lambda i: sets[i].astype(">u4").tobytes()))
-    inside = np.zeros(len(words), dtype=bool)
-    share = threshold / (1 + threshold)
-    for i in some:
-        s, n = sets[i], len(sets[i])
-        inside[s] = True
-        todo = [(root, 0)]
-        seen = []
+class Tree:
+    """A prefix tree of sets of grams, none of them empty."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.words, index, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.words), np.int64)
+        self.rank[np.lexsort((self.words, -freq))] = np.arange(len(self.words))
+        self.size, lo, ranked = [len(s) for s in sets], 0, []
+        for n in self.size:
+            ranked.append(np.sort(self.rank[index[lo : lo + n]]))
+            lo += n
+        self.root = _tree(ranked, sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes()))
+        self.inside = np.zeros(len(self.words), dtype=bool)
+
+    def alike(self, probe: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
+        """Indexes of the stored sets whose Jaccard similarity with probe (sorted, distinct) reaches the threshold."""
+        n, share = len(probe), threshold / (1 + threshold)
+        place = np.minimum(np.searchsorted(self.words, probe), len(self.words) - 1)
+        s = np.sort(self.rank[place[self.words[place] == probe]])
+        self.inside[s] = True
+        todo, out = [(self.root, 0)], []
         while todo:
             node, overlap = todo.pop()
-            if node.uniform and _find(parent, node.any) == _find(parent, i) or node.high < n * threshold or node.low * threshold > n:
+            if node.high < n * threshold - 1e-9 or node.low * threshold > n + 1e-9:
                 continue
             if len(node.grams):
-                overlap += int(np.count_nonzero(inside[node.grams]))
-                left = n - int(np.searchsorted(s, node.grams[-1], side="right"))
+                overlap += int(np.count_nonzero(self.inside[node.grams]))
+                left = len(s) - int(np.searchsorted(s, node.grams[-1], side="right"))
                 if overlap + min(left, node.high - node.end) < share * (n + node.low) - 1e-9:
                     continue
-            for j in node.leaves:
-                if j != i and overlap >= threshold * (n + len(sets[j]) - overlap) - 1e-9:
-                    a, b = _find(parent, i), _find(parent, j)
-                    parent[max(a, b)] = min(a, b)
-            seen.append(node)
+            out += [j for j in node.leaves if overlap >= threshold * (n + self.size[j] - overlap) - 1e-9]
             todo += [(c, overlap) for c in node.children]
-        for node in reversed(seen):
-            if not node.uniform and all(c.uniform for c in node.children):
-                of = _find(parent, node.any)
-                node.uniform = all(_find(parent, j) == of for j in node.leaves) and all(_find(parent, c.any) == of for c in node.children)
-        inside[s] = False
+        self.inside[s] = False
+        return out
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -204,29 +130,287 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__v": F.xxhash64("text"), "__w": F.xxhash64(F.lit(1), "text")})
 
 
-def sketched(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, __v, __w and the upper paths of every text with words."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """v, w and text of every row with words."""
+    return docs.where(_WORDS).select(F.xxhash64("text").alias("v"), F.xxhash64(F.lit(1), "text").alias("w"), "text")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if a count says that they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+class _Once:
+    """Tells which keys of a batch a task hasn't seen yet, so that copies meet before the shuffle. Forgets what it saw rather than to grow; that costs time only."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.seen, self.most = set(), most
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        keep = []
+        for i, key in enumerate(zip(batch.column("v").to_pylist(), batch.column("w").to_pylist())):
+            if key not in self.seen:
+                self.seen.add(key)
+                keep.append(i)
+        return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
+def counts(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words, and how many grams of all sets, fall on each counter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, once = np.zeros((2, COUNTERS), np.int64), _Once()
+        for batch in batches:
+            for part in slices(once(batch), "text"):
+                words, grams, *_ = _sets(part, n)
+                for k, x in ((0, words), (1, grams)):
+                    table[k] += np.bincount(_slot(x), minlength=COUNTERS)
+        yield from blocks({b: x for b, x in enumerate(table.reshape(-1, STRIDE)) if x.any()}, int(table.sum()) % 16)
+
+    def blocks(found: dict[int, np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
+        for b, x in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "salt", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                total[b] = total.get(b, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        yield from blocks(total, 0)
+
+    kind = "block int, salt int, counts binary"
+    each = texts.mapInArrow(count, kind).repartition("block", "salt").mapInArrow(add, kind).repartition("block").mapInArrow(add, kind)
+    out = np.zeros((2, COUNTERS), np.int64)
+    for r in each.collect():  # 2 * COUNTERS / STRIDE rows, whatever the input
+        out.reshape(-1, STRIDE)[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return out[0], out[1]
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
+def order_of(words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What places a gram in the order: a code for each word's counter, and one for each gram's that is 0 unless the counter stands out."""
+    mean = grams.sum() / len(grams)
+    above = np.maximum(grams - mean - 2 * np.sqrt(mean), 0)
+    return np.round(8 * np.log2(np.maximum(words, 1))).astype(np.uint16), np.floor(np.log2(1 + above)).astype(np.uint8)
+
+
+def _sets(part: pa.RecordBatch, n: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes; grams of the set of each row, sorted within it (in the order, if there is one, else by hash); and the size of each set."""
+    data, at = utf8(part.column("text"))
+    words, rows = word_hashes(data, at)
+    count = len(at) - 1
+    grams, owner, where, width = gram_instances(words, rows, count, n)
+    if order is None:
+        by = np.lexsort((grams, owner))
+    else:
+        code, above = order
+        sums = np.concatenate([[0], np.cumsum(code[_slot(words)], dtype=np.int64)])
+        key = above[_slot(grams)].astype(np.int64) * 4096 + np.minimum(sums[where + width] - sums[where], 4095)
+        by = np.lexsort((grams, owner * (1 << 20) + key))
+    grams, owner = grams[by], owner[by]
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    return words, grams[new], np.bincount(owner[new], minlength=count)
+
+
+def _rows(columns: dict[str, np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    total = len(next(iter(columns.values())))
+    for lo in range(0, total, most):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + most]) for x in columns.values()], list(columns))
+
+
+def entries(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
+    """gram, v, w, n, left: each gram of the prefix of each set, with the set's size and how many grams it has from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
         for batch in batches:
-            for part in slices(batch, "text"):
-                grams, at = gram_sets(*utf8(part.column("text")), n)
-                some = np.flatnonzero(np.diff(at) > 0)
-                rows = part.take(pa.array(some))
-                path = upper_paths(grams, np.concatenate([[0], np.cumsum(np.diff(at)[some])]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TRIES), pa.array(path.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(k) for k in ("doc_id", "__v", "__w")] + [lists], ["doc_id", "__v", "__w", "paths"])
+            for part in slices(once(batch), "text"):
+                _, grams, size = _sets(part, n, order.value)
+                place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+                full = np.repeat(size, size)
+                keep = full - place >= threshold * full - 1e-9
+                row = np.repeat(np.arange(len(size)), size)[keep]
+                v, w = (part.column(k).to_numpy() for k in KEY)
+                yield from _rows({"gram": grams[keep].view(np.int64), "v": v[row], "w": w[row], "n": full[keep].astype(np.int32), "left": (full - place)[keep].astype(np.int32)})
+
+    return texts.mapInArrow(run, ENTRY)
+
+
+def _allowed(n: np.ndarray, left: np.ndarray, m: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of sizes n and m with so many grams left may be alike."""
+    return (np.minimum(left, rest) >= threshold / (1 + threshold) * (n + m) - 1e-9) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
 
-    rows = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"))
-    return rows.mapInArrow(run, "doc_id long, __v long, __w long, paths array<long>")
 
+def buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """The entries of buckets of two sets or more; hv and hw name the smallest set of the bucket where an entry's set may be alike with it.
 
-def links(sketches: DataFrame) -> DataFrame:
-    """a > b for texts that share an upper path: each with the least of its path."""
-    distinct = sketches.groupBy("__v").agg(F.first("paths").alias("paths"))
-    routes = distinct.select("__v", F.explode("paths").alias("path"))
-    least = F.min("__v").over(Window.partitionBy("path"))
-    return routes.select(F.col("__v").alias("a"), least.alias("b")).where("a > b").distinct()
+    Streams over the entries in order of gram and size: only the first of a bucket is held, so a bucket may have any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = None, False  # the first entry of the bucket at hand, and whether it was put out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _columns(batch, held)
+            first = np.ones(len(x["gram"]), dtype=bool)
+            first[1:] = x["gram"][1:] != x["gram"][:-1]
+            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            # Copies of the first that come from other tasks make no bucket.
+            other = (x["v"] != x["v"][head]) | (x["w"] != x["w"][head])
+            link = other & _allowed(x["n"], x["left"], x["n"][head], x["left"][head], threshold)
+            out = other.copy()
+            out[head[other]] = True
+            last = head[-1]
+            again = last == 0 and told
+            out[0] &= not told
+            told = bool(out[last]) or again
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[k][out]) for k in x] + [pa.array(x[k][head][out], mask=~link[out]) for k in KEY], [*x, "hv", "hw"])
+            held = {k: c[last : last + 1] for k, c in x.items()}
+
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "n", "v", "w")
+    return ordered.mapInArrow(run, f"{ENTRY}, hv long, hw long")
+
+
+def _columns(batch: pa.RecordBatch, held: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    x = {k: batch.column(k).to_numpy() for k in batch.schema.names}
+    return x if held is None else {k: np.concatenate([held[k], c]) for k, c in x.items()}
+
+
+def crossing(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (av, aw; bv, bw) of different classes that share a bucket and may be alike; of a bucket that has too many such pairs its sets (av, aw) under one key.
+
+    rows: entries with the class (cv, cw) of each set."""
+
+    def several(x: dict[str, np.ndarray], starts: np.ndarray) -> np.ndarray:
+        head = np.repeat(starts, np.diff(np.append(starts, len(x["gram"]))))
+        return np.logical_or.reduceat((x["cv"] != x["cv"][head]) | (x["cw"] != x["cw"][head]), starts)
+
+    def put(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray | None = None, key: int = 0) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key)) if b is None else none, *(pa.array(x[k][a]) for k in KEY), *(none if b is None else pa.array(x[k][b]) for k in KEY)], ["key", "av", "aw", "bv", "bw"])
+
+    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(x["n"]), dtype=bool)
+        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["w"][1:] != x["w"][:-1])
+        x = {k: c[new] for k, c in x.items()}
+        total = len(x["n"])
+        of = np.unique(np.stack([x["cv"], x["cw"]], 1), axis=0, return_inverse=True)[1].ravel()
+        size = np.bincount(of)
+        if (total * total - (size * size).sum()) // 2 > FEW * max(total, FEW):
+            # Buckets of the same sets, as the grams of one passage open, have one key.
+            yield put(x, np.arange(total), key=int(np.bitwise_xor.reduce(x["v"] ^ np.roll(x["w"], 1))))
+            return
+        reach = np.searchsorted(x["n"], x["n"] / threshold + 1e-9, side="right")
+        for lo in range(0, total, 1024):
+            i = np.arange(lo, min(lo + 1024, total))
+            many = np.maximum(reach[i] - i - 1, 0)
+            a = np.repeat(i, many)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + a + 1
+            ok = (of[a] != of[b]) & _allowed(x["n"][a], x["left"][a], x["n"][b], x["left"][b], threshold)
+            if ok.any():
+                yield put(x, a[ok], b[ok])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = flood = None  # the bucket at hand; the gram of one that is too large to be held
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _columns(batch, held)
+            starts = np.concatenate([[0], np.flatnonzero(x["gram"][1:] != x["gram"][:-1]) + 1])
+            ends = np.append(starts[1:], len(x["gram"]))
+            if flood is not None and x["gram"][0] == flood:
+                yield put(x, np.arange(ends[0]), key=int(flood))
+                x = {k: c[ends[0] :] for k, c in x.items()}
+                starts, ends = starts[1:] - ends[0], ends[1:] - ends[0]
+                if not len(starts):
+                    held = None
+                    continue
+            for k in np.flatnonzero(several(x, starts)[:-1]):
+                yield from pairs({name: c[starts[k] : ends[k]] for name, c in x.items()})
+            held = {k: c[starts[-1] :] for k, c in x.items()}
+            if len(held["gram"]) > HELD:
+                flood = held["gram"][0]
+                yield put(held, np.arange(len(held["gram"])), key=int(flood))
+                held = None
+        if held is not None and several(held, np.zeros(1, np.int64))[0]:
+            yield from pairs(held)
+
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "n", "v", "w")
+    return ordered.mapInArrow(run, "key long, av long, aw long, bv long, bw long")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    once = _Once()
+    for batch in batches:
+        yield once(batch)
+
+
+def _wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with the text of each v and w. Copies of a text meet in each task first; what reads this takes the same row twice for one."""
+    some = texts.join(_small(wanted.select(*KEY).distinct()), [*KEY], "left_semi").mapInArrow(_once, "v long, w long, text string")
+    return some.join(_small(wanted), [*KEY])
+
+
+def walked(wanted: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Pairs (av, aw; bv, bw) of a walking set (role 1) and a stored one (role 0) of the same key (kv, kw) and block that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, stored, sets, tree, last = None, [], [], None, None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                grams, at = gram_sets(*utf8(part.column("text")), n)
+                out: list[tuple[int, int, int, int]] = []
+                for i, (*key, role, v, w) in enumerate(zip(*(part.column(k).to_pylist() for k in ("kv", "kw", "block", "role", "v", "w")))):
+                    if key != block:
+                        block, stored, sets, tree, last = key, [], [], None, None
+                    if last == (role, v, w):
+                        continue
+                    last = (role, v, w)
+                    own = grams[at[i] : at[i + 1]]
+                    if not role:
+                        stored.append((v, w))
+                        sets.append(own.copy())
+                        continue
+                    if tree is None and stored:
+                        tree, sets = Tree(sets), []
+                    if tree is not None:
+                        out += [(v, w, *stored[j]) for j in tree.alike(own, threshold) if stored[j] != (v, w)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["av", "aw", "bv", "bw"])
+
+    rows = _wanted(texts, wanted).repartition("kv", "kw", "block").sortWithinPartitions("kv", "kw", "block", "role", "v", "w")
+    return rows.mapInArrow(run, "av long, aw long, bv long, bw long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, folder: str, n: int, threshold: float) -> DataFrame:
+    """Those of distinct pairs (av, aw; bv, bw) that are alike: a walks the trees of its partners, BLOCK of them or so in each."""
+    heavy = pairs.groupBy("av", "aw").count().where(F.col("count") > BLOCK).withColumnRenamed("count", "many")
+    block = F.pmod(F.xxhash64("bv", "bw"), F.ceil(F.coalesce("many", F.lit(1)) / F.lit(BLOCK))).cast("int")
+    stored = pairs.join(heavy, ["av", "aw"], "left").select(F.col("av").alias("kv"), F.col("aw").alias("kw"), block.alias("block"), F.lit(0).alias("role"), F.col("bv").alias("v"), F.col("bw").alias("w"))
+    walking = stored.select("kv", "kw", "block", F.lit(1).alias("role"), F.col("kv").alias("v"), F.col("kw").alias("w")).distinct()
+    return walked(written(stored.unionByName(walking), folder, "wanted"), texts, n, threshold)
+
+
+def among(members: DataFrame, texts: DataFrame, folder: str, n: int, threshold: float) -> DataFrame:
+    """All alike pairs, in both directions, of the sets (v, w) of each key (kv, kw): it is cut in blocks, and each of its sets walks the tree of each."""
+    sizes = members.groupBy("kv", "kw").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("many"))
+    members = members.join(sizes.where("many > 1"), ["kv", "kw"], "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    stored = members.select("kv", "kw", F.pmod(F.xxhash64("v", "w"), "many").cast("int").alias("block"), F.lit(0).alias("role"), "v", "w")
+    walking = members.select("kv", "kw", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), F.lit(1).alias("role"), "v", "w")
+    return walked(written(stored.unionByName(walking), folder, "wanted"), texts, n, threshold)
+
+
+def counted(labels: DataFrame, texts: DataFrame, folder: str, n: int, threshold: float) -> DataFrame:
+    """v, w, n_links: the number of other texts that each text of a class is alike with."""
+    members = labels.select(F.col("a.v").alias("v"), F.col("a.w").alias("w"), F.col("b.v").alias("kv"), F.col("b.w").alias("kw"))
+    return among(members, texts, folder, n, threshold).groupBy(F.col("av").alias("v"), F.col("aw").alias("w")).agg(F.count("*").alias("n_links"))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -247,83 +431,86 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct())
 
 
-def verified(docs: DataFrame, sketches: DataFrame, labels: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """__v, __w, g_v, g_w: the group of every text of a component, named by the hashes of its first text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, keys, sets = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            order = sorted(range(len(keys)), key=keys.__getitem__)
-            order = [i for k, i in enumerate(order) if not k or keys[i] != keys[order[k - 1]]]
-            home = joined([sets[i] for i in order], threshold)
-            rows = [(*keys[i], *keys[order[h]]) for i, h in zip(order, home)]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["__v", "__w", "g_v", "g_w"])
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                grams, at = gram_sets(*utf8(part.column("text")), n)
-                for i, (c, v, w) in enumerate(zip(*(part.column(k).to_pylist() for k in ("comp", "__v", "__w")))):
-                    if c != comp and keys:
-                        yield flush()
-                        keys, sets = [], []
-                    comp = c
-                    keys.append((v, w))
-                    sets.append(grams[at[i] : at[i + 1]].copy())
-        if keys:
-            yield flush()
-
-    chosen = sketches.groupBy("__v", "__w").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("id")).join(labels.select(F.col("a").alias("__v"), F.col("b").alias("comp")), "__v")
-    texts = hashed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text").where("text IS NOT NULL"))
-    rows = texts.join(chosen, ["__v", "__w", "id"]).select("comp", "__v", "__w", "text")
-    return rows.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, "__v long, __w long, g_v long, g_w long")
-
-
-def texts_in_groups(docs: DataFrame, folder: str, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, __v, __w, g_v, g_w for every row of docs with words: its text and the first text of its group."""
-    sketches = written(sketched(docs, n), folder, "sketches")
-    labels = written(components(links(sketches), folder), folder, "labels")
-    groups = written(verified(docs, sketches, labels, n, threshold), folder, "groups")
-    rows = sketches.select("doc_id", "__v", "__w").join(groups, ["__v", "__w"], "left")
-    return rows.select("doc_id", "__v", "__w", F.coalesce("g_v", "__v").alias("g_v"), F.coalesce("g_w", "__w").alias("g_w"))
+def _edges(pairs: DataFrame) -> DataFrame:
+    a, b = (F.struct(F.col(f"{x}v").alias("v"), F.col(f"{x}w").alias("w")) for x in "ab")
+    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def classes(texts: DataFrame, folder: str, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b (structs of v and w) for every text that is alike with another: b is the least text of its class."""
+    spark = texts.sparkSession
+    order = spark.sparkContext.broadcast(order_of(*counts(texts, n)))
+    opened = written(buckets(entries(texts, order, n, threshold), threshold), folder, "buckets")
+    tried = written(opened.where("hv IS NOT NULL").select(F.col("hv").alias("av"), F.col("hw").alias("aw"), F.col("v").alias("bv"), F.col("w").alias("bw")).distinct(), folder, "pairs")
+    links = written(verified(tried, texts, f"{folder}/0", n, threshold), folder, "links0")
+    labels = written(components(_edges(links), f"{folder}/0"), folder, "labels0")
+    of = _small(labels.select(F.col("a.v").alias("v"), F.col("a.w").alias("w"), F.col("b.v").alias("cv"), F.col("b.w").alias("cw")))
+    rows = opened.select("gram", *KEY, "n", "left").join(of, [*KEY], "left").withColumns({"cv": F.when(F.col("cw").isNull(), F.col("v")).otherwise(F.col("cv")), "cw": F.coalesce("cw", "w")})
+    met = written(crossing(rows, threshold), folder, "crossing")
+    pairs = written(met.where("bv IS NOT NULL").select("av", "aw", "bv", "bw").distinct().join(tried, ["av", "aw", "bv", "bw"], "left_anti"), folder, "pairs1")
+    links = links.unionByName(written(verified(pairs, texts, f"{folder}/1", n, threshold), folder, "links1"))
+    hot = met.where("bv IS NULL").select(F.col("key").alias("kv"), F.lit(0).cast("long").alias("kw"), F.col("av").alias("v"), F.col("aw").alias("w")).distinct()
+    if not hot.isEmpty():
+        links = links.unionByName(written(among(written(hot, folder, "hot"), texts, f"{folder}/2", n, threshold), folder, "links2"))
+    return written(components(_edges(links), f"{folder}/all"), folder, "labels")
+
+
+def texts_in_groups(docs: DataFrame, folder: str, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, __v, __w, g_v, g_w for every row of docs with words: its text and the first text of its class; and the labels and texts that were used."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _texts(rows)
+    labels = classes(texts, folder, n, threshold)
+    of = _small(labels.select(F.col("a.v").alias("__v"), F.col("a.w").alias("__w"), F.col("b.v").alias("g_v"), F.col("b.w").alias("g_w")))
+    named = hashed(rows.where(_WORDS)).drop("text").join(of, ["__v", "__w"], "left")
+    return named.select("doc_id", "__v", "__w", F.coalesce("g_v", "__v").alias("g_v"), F.when(F.col("g_v").isNull(), F.col("__w")).otherwise(F.col("g_w")).alias("g_w")), labels, texts
 
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """group_id, the least doc_id, and doc_ids, sorted, of every group of two rows or more."""
+    """doc_id, group_id (the least doc_id of its class) and n_links (how many other texts it is alike with) of every row of a class of two rows or more."""
     folder = shared_folder(docs.sparkSession)
-    rows = texts_in_groups(docs, folder, n, threshold)
-    listed = F.array_sort(F.collect_list(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")))
-    found = rows.groupBy("g_v", "g_w").agg(F.count("*").alias("n"), F.transform(listed, lambda x: x["doc_id"]).alias("doc_ids")).where("n > 1")
-    return found.select(F.get("doc_ids", F.lit(0)).alias("group_id"), "doc_ids")
+    rows, labels, texts = texts_in_groups(docs, folder, n, threshold)
+    rows = written(rows, folder, "rows")
+    several = written(rows.groupBy("g_v", "g_w").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id")).where("n > 1").drop("n"), folder, "several")
+    links = written(counted(labels, texts, f"{folder}/n", n, threshold), folder, "n_links").select(F.col("v").alias("__v"), F.col("w").alias("__w"), "n_links")
+    found = rows.join(_small(several), ["g_v", "g_w"]).join(_small(links), ["__v", "__w"], "left")
+    return found.select("doc_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def thinned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each group, that of the least doc_id, and of equal ones that of the least hash of the text; rows in no group stay."""
+    """docs with one row of each class, that of the least doc_id, and of equal ones that of the least hash of the text; rows in no class stay."""
     return apart(lambda d: _thinned(d, n, threshold), docs)
 
 
 def _thinned(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
-    rows = texts_in_groups(docs, folder, n, threshold)
+    rows = written(texts_in_groups(docs, folder, n, threshold)[0], folder, "rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__v", "__w")
     least = rows.groupBy("g_v", "g_w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    # Only texts of groups have a row here; the others find none and stay.
-    verdict = written(rows.join(least, ["g_v", "g_w"]).groupBy("__v", "__w").agg(F.first("first").alias("__first")), folder, "verdict")
-    judged = hashed(docs).join(verdict, ["__v", "__w"], "left")
-    turn = F.row_number().over(Window.partitionBy("__v", "__w", "doc_id").orderBy(F.lit(1)))
-    stays = F.col("__first").isNull() | ((F.col("__first.__v") == F.col("__v")) & (F.col("__first.__w") == F.col("__w")) & F.col("__first.doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__turn") == 1))
-    return judged.withColumn("__turn", turn).where(stays).drop("__v", "__w", "__first", "__turn")
+    # Only texts of classes have a row here; the others find none and stay.
+    verdict = written(rows.select("__v", "__w", "g_v", "g_w").distinct().join(least, ["g_v", "g_w"]).select("__v", "__w", F.col("first").alias("__first")), folder, "verdict")
+    first = F.col("__first")
+    judged = hashed(docs).join(_small(verdict), ["__v", "__w"], "left")
+    left = judged.where(first.isNull() | ((first["__v"] == F.col("__v")) & (first["__w"] == F.col("__w")) & first["doc_id"].eqNullSafe(F.col("doc_id").cast("long"))))
+    # What is left of a class are rows of one doc_id and text; one of them stays.
+    several = least.where("n > 1").select(F.col("first.__v").alias("__v"), F.col("first.__w").alias("__w"), F.col("first.doc_id").alias("__id"))
+    again = rows.join(_small(several), ["__v", "__w"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("__v", "__w").count().where("count > 1")
+    if again.isEmpty():
+        return left.drop("__v", "__w", "__first")
+    turn = F.row_number().over(Window.partitionBy("__v", "__w").orderBy(F.lit(1)))
+    once = left.where(first.isNotNull()).withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    return left.where(first.isNull()).unionByName(once).drop("__v", "__w", "__first")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The same groups by comparing all pairs, for N = 2.
+#: The same classes and links by comparing all pairs, for N = 2.
 GROUPS_SQL = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= {THRESHOLD}e0 * (x.n + y.n - k)),
 r AS (SELECT DISTINCT a, a AS m FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.m),
-h AS (SELECT a AS doc_id, min(m) AS group_id FROM r GROUP BY a)
-SELECT group_id, list(doc_id ORDER BY doc_id) AS doc_ids FROM h GROUP BY group_id
+h AS (SELECT a AS doc_id, min(m) AS group_id FROM r GROUP BY a),
+l AS (SELECT e.a AS doc_id, count(DISTINCT y.text) FILTER (WHERE y.text <> x.text) AS n_links FROM e JOIN w x ON x.doc_id = e.a JOIN w y ON y.doc_id = e.b GROUP BY e.a)
+SELECT doc_id, group_id, n_links FROM h JOIN l USING (doc_id)
 """

@@ -2,67 +2,47 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexispan.llm import jaccard
 from lexispan.llm.common import gram_sets, utf8
 
 
-def brute(sets, threshold):
-    n = len(sets)
+def alike(sets, threshold):
+    n = range(len(sets))
+    return {(i, j) for i in n for j in n if i != j and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+
+
+def components(n, pairs):
     home = list(range(n))
     for _ in range(n):
-        for i in range(n):
-            for j in range(n):
-                a, b = sets[i], sets[j]
-                if a and b and len(a & b) / len(a | b) >= threshold and home[i] != home[j]:
-                    home[i] = home[j] = min(home[i], home[j])
+        for i, j in pairs:
+            home[i] = home[j] = min(home[i], home[j])
     return home
 
 
-def test_tree_join_is_exact():
+def test_tree_is_exact():
     rng = random.Random(3)
     for _ in range(150):
         base = [rng.sample(range(60), rng.randint(1, 25)) for _ in range(rng.randint(1, 4))]
         sets = []
-        for _ in range(rng.randint(0, 14)):
+        for _ in range(rng.randint(1, 14)):
             s = set(rng.choice(base))
             for _ in range(rng.randint(0, 8)):
                 s ^= {rng.randrange(80)}
-            sets.append(s)
+            if s:
+                sets.append(s)
+        tree = jaccard.Tree([np.array(sorted(s), dtype=np.uint64) for s in sets])
         for threshold in (0.5, 0.8, 0.3):
-            got = jaccard.joined([np.array(sorted(s), dtype=np.uint64) for s in sets], threshold)
-            assert got == brute(sets, threshold)
-
-
-def test_a_shared_passage_does_not_keep_sets_together():
-    rng = np.random.default_rng(2)
-    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
-    passage = draw(40)
-    sets = [np.unique(np.concatenate([passage, draw(int(rng.integers(30, 60)))])) for _ in range(300)]
-    parts = jaccard.parts(sets, 0.5)
-    assert max(map(len, parts)) < 30 and sorted(i for p in parts for i in p) == list(range(300))
+            for i, s in enumerate(sets):
+                want = {j for j, t in enumerate(sets) if len(s & t) / len(s | t) >= threshold}
+                assert set(tree.alike(np.array(sorted(s), dtype=np.uint64), threshold)) == want and i in want
 
 
 def words(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
 
-def test_recall_of_the_paths():
-    rng = random.Random(5)
-    texts = []
-    for _ in range(300):
-        a = words(rng, rng.choice([12, 60, 400]))
-        b = [w if rng.random() > 0.13 else f"x{rng.randrange(4000)}" for w in a]
-        texts += [" ".join(a), " ".join(b)]
-    grams, at = gram_sets(*utf8(pa.array(texts)), jaccard.N)
-    path = jaccard.upper_paths(grams, at)
-    sets = [set(grams[at[i] : at[i + 1]].tolist()) for i in range(len(texts))]
-    alike = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.5 * len(sets[i] | sets[i + 1])]
-    met = [i for i in alike if (path[i] == path[i + 1]).any()]
-    assert len(alike) > 100 and len(met) >= 0.95 * len(alike)
-    assert not any((path[i] == path[i + 2]).any() for i in range(0, len(texts) - 2, 2))
-
-
 def corpus():
     rng = random.Random(7)
     base = [words(rng, rng.choice([8, 80, 300])) for _ in range(25)]
@@ -75,25 +55,61 @@ def corpus():
     return rows + [(k, copy, "s"), (k, copy, "s"), (None, copy, "s"), (k + 1, None, "s"), (k + 2, "", "s"), (k + 3, "", "s"), (k + 4, "one", "s"), (k + 5, "One!", "s"), (k + 6, "long " * 40000, "s")]
 
 
-def test_groups_and_thinned_against_brute_force(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, paths string")
+def at_the_threshold():
+    """Pairs on their own, around the threshold, of several sizes, with a passage that many share, and short texts of frequent words."""
+    rng = random.Random(11)
+    passage, rows = words(rng, 30), []
+    for k in range(120):
+        size = rng.choice([4, 10, 40, 150])
+        a = words(rng, size) + (passage if k % 3 == 0 else [])
+        edits = rng.choice([0.1, 0.14, 0.17, 0.2])
+        b = [w if rng.random() > edits else f"x{rng.randrange(4000)}" for w in a]
+        rows += [(2 * k, " ".join(a), "s"), (2 * k + 1, " ".join(b), "s")]
+    frequent = ["the", "of", "and", "to"]
+    return rows + [(1000 + k, " ".join(rng.choice(frequent) for _ in range(rng.randint(1, 5))), "s") for k in range(60)]
+
+
+def expected(rows, threshold=jaccard.THRESHOLD):
     grams, at = gram_sets(*utf8(pa.array([r[1] for r in rows])), jaccard.N)
-    home = brute([set(grams[at[i] : at[i + 1]].tolist()) for i in range(len(rows))], jaccard.THRESHOLD)
-    want = {}
-    for r, h in zip(rows, home):
-        want.setdefault(h, []).append(r[0])
-    key = lambda xs: tuple(sorted(-1 if x is None else x for x in xs))
-    want = {key(v) for v in want.values() if len(v) > 1}
-    got = jaccard.groups(docs).collect()
-    assert {key(r["doc_ids"]) for r in got} == want
+    sets = [set(grams[at[i] : at[i + 1]].tolist()) for i in range(len(rows))]
+    pairs = alike(sets, threshold)
+    home = components(len(rows), pairs)
+    members = {}
+    for i, h in enumerate(home):
+        members.setdefault(h, []).append(i)
+    out = []
+    for some in members.values():
+        ids = [rows[i][0] for i in some if rows[i][0] is not None]
+        if len(some) > 1:
+            out += [(rows[i][0], min(ids), len({rows[j][1] for j in some if (i, j) in pairs} - {rows[i][1]})) for i in some]
+    return sorted(out, key=str), home
+
+
+@pytest.mark.parametrize("rows", [corpus(), at_the_threshold()])
+def test_groups_and_thinned_against_brute_force(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, paths string").repartition(3)
+    want, home = expected(rows)
+    assert sorted(map(tuple, jaccard.groups(docs).collect()), key=str) == want
     kept = jaccard.thinned(docs)
     assert kept.columns == docs.columns
     left = [r["doc_id"] for r in kept.collect()]
     assert len(left) == len(set(home)) and len(set(left)) == len(left)
-    assert all(sum(x in left for x in g) == 1 for g in ({y for y in w if y >= 0} for w in want))
+
+
+@pytest.mark.parametrize("few, held", [(0, 1 << 20), (0, 3), (64, 3)])
+def test_buckets_of_too_many_pairs(spark, monkeypatch, few, held):
+    """Every bucket of several classes, or of several sets, is too large and walked in blocks."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 5)
+    rows = at_the_threshold()[150:]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string, paths string")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)[0]
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.groups(docs).count() == 0 and jaccard.thinned(docs).count() == 0
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " . ")], "doc_id long, text string")
+    assert jaccard.groups(docs).count() == 0 and jaccard.thinned(docs).count() == 3
