@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every source gets the share weight / sum of weights of all characters. Its documents expect share / (characters of the source)
-copies each; in units of a millionth they are summed up within the source, from one offset, and a document is emitted once for
+copies each; in units of a millionth they are summed up within the source, from one random offset (drawn by SEED, so that a run can be repeated), and a document is emitted once for
 every whole copy that its stretch of the sum crosses. Whole numbers throughout: any engine gives the same rows.
 
 The sum runs in the order of (doc_id modulo BUCKETS, doc_id): sums of the buckets come first, then each bucket is summed up from
@@ -12,12 +12,22 @@ or with weight 0 gives no rows. Repeated rows count each by itself. No rows, no
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.llm.common import apart
 
-BUCKETS, UNIT, OFFSET = 1024, 1_000_000, 618_034
+BUCKETS, UNIT, SEED = 1024, 1_000_000, 1
+
+
+def offset_of(seed: int) -> int:
+    """A random start of the sums, from 0 to UNIT - 1."""
+    return random.Random(seed).randrange(UNIT)
+
+
+OFFSET = offset_of(SEED)
 #: Production weights; any source not named has weight 1.
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
 
@@ -28,7 +38,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, weights: dict[str, int] | None = None, offset: int = OFFSET) -> DataFrame:
-    """Rows of docs, each as often as it is drawn, with column __copy counted from 1."""
+    """Rows of docs, each as often as it is drawn, with column __copy counted from 1. docs has no columns in "__" of its own; mixed takes care of those."""
     return drawn(measured(docs), weights, offset).drop("__size", "__hash")
 
 

@@ -6,10 +6,11 @@ A line that is not blank fails as
   symbols      over SYMBOLS of its characters are noise symbols;
   repeats      over REPEATS of its words equal the word before;
   punctuation  no sentence ends in it, or at its end.
-Blank lines stay. Boilerplate says nothing of the other lines, so a document is rejected when the other failing lines hold more
-than LOSS of the characters that are not boilerplate, or when nothing but blanks is left.
+Blank lines stay. A document is rejected when its failing lines hold more than LOSS of its characters, boilerplate among them, or when
+nothing but blanks is left.
 
-Null and empty texts are rejected; other columns, null or not, pass through, and repeated rows are judged each by itself.
+Null and empty texts are rejected; very long texts are judged whole, line by line; other columns, null or not and whatever their names, pass through, and
+repeated rows are judged each by itself. No rows, no result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ SYMBOLS, REPEATS, LOSS = 0.1, 0.3, 0.5
 NOISE = "!#$%&*|<>{}[]\\^~=+@_/"
 BOILERPLATE = ("licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum")
 NOISY = "[" + "".join("\\" + c for c in NOISE) + "]"
-SENTENCE = "[.!?…][\"')\\]»”]*([ \\t\\r]|$)"
+#: Ends of sentences, a blank or the line end after them; full-width ones need none.
+SENTENCE = "[.!?…।॥؟۔።][\"')\\]»”]*([ \\t\\r]|$)|[。！？．｡]"
 REPEAT = r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))"
 
 
@@ -51,10 +53,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.char_length(x["x"]))
     step = docs.withColumn("__lines", lines)
     xs = F.col("__lines")
-    lost = chars(F.filter(xs, lambda x: x["why"] != "boilerplate"))
-    boiler = chars(F.filter(xs, lambda x: x["why"] == "boilerplate"))
+    lost = chars(F.filter(xs, lambda x: x["why"].isNotNull()))
     clean = F.array_join(F.transform(F.filter(xs, lambda x: x["why"].isNull()), lambda x: x["x"]), "\n")
-    step = step.withColumn("__parts", F.struct(clean.alias("text"), lost.alias("lost"), (chars(xs) - boiler).alias("of"), F.size(xs).alias("n_lines"), F.size(F.filter(xs, lambda x: x["why"].isNotNull())).alias("n_removed")))
+    step = step.withColumn("__parts", F.struct(clean.alias("text"), lost.alias("lost"), chars(xs).alias("of"), F.size(xs).alias("n_lines"), F.size(F.filter(xs, lambda x: x["why"].isNotNull())).alias("n_removed")))
     p = F.col("__parts")
     kept = F.coalesce((F.trim(F.translate(p["text"], "\n", "")) != "") & (p["lost"] <= p["of"] * LOSS), F.lit(False))
     verdict = F.struct(p["text"].alias("text"), p["n_lines"].alias("n_lines"), p["n_removed"].alias("n_removed"), kept.alias("kept"))
@@ -92,7 +93,7 @@ REPORT_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, x, {_WHY} AS why FROM l),
 d AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE why IS NULL), '') AS text,
-  coalesce(sum(length(x)) FILTER (WHERE why <> 'boilerplate'), 0) AS lost, coalesce(sum(length(x)) FILTER (WHERE why IS NULL OR why <> 'boilerplate'), 0) AS total,
+  coalesce(sum(length(x)) FILTER (WHERE why IS NOT NULL), 0) AS lost, coalesce(sum(length(x)), 0) AS total,
   count(*)::INT AS n_lines, (count(why))::INT AS n_removed FROM w GROUP BY doc_id)
 SELECT doc_id, text, n_lines, n_removed FROM d WHERE trim(translate(text, chr(10), '')) <> '' AND lost <= total * {LOSS}e0
 """

@@ -6,12 +6,12 @@ are hashes of the word, of its beginnings of 3 to 8 bytes and of its last 4 byte
 Labelled tokens come from a bounded sample of labelled documents (TOXIC and CLEAN of them, first by hash of doc_id): a token of a
 toxic document is labelled toxic if the word or one of its beginnings is found almost only in toxic documents (PURITY) and so
 often that chance is ruled out (EVIDENCE, a log-likelihood ratio). Occurrences count once for each pair of neighbours, so near
-copies of one document prove nothing. Weights and transitions are then fitted by maximum likelihood on the sentences.
+copies of one document prove nothing. Weights and transitions are then fitted by maximum likelihood on all sentences of the sample.
 
-A document's score is a logistic function of the sum of its toxic marginals from 0.5 on and of their share, fitted on the sample and
+A document's score is a logistic function of the logarithms of the sum of its toxic marginals from 0.5 on and of their share, fitted on the sample and
 shifted so that 0.5 tells most of it apart; from 0.5 on it is toxic. Spans are maximal runs of tokens of marginal 0.5 or more, as offsets in characters, end exclusive.
 
-A null text has a null score, an empty one 0; neither is toxic. Without toxic labels nothing is. Labels that contradict each other
+A null text has a null score, an empty one 0; neither is toxic. TOXIC and CLEAN bound what reaches the driver. Without toxic labels nothing is. Labels that contradict each other
 count as toxic; labels without a document, and null ones, don't train. Very long texts are scored whole, sentences of any length in
 one chain. Repeated rows are scored alike. Other columns pass through what is kept. No rows, no result.
 """
@@ -85,10 +85,10 @@ def chains(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield p, first[:n] + p
 
 
-def forward_backward(e: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(e: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray, steps: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of toxic from the left (with the token's own) and from the right of each token. a: scores of plain to plain, plain to toxic, toxic to plain, toxic to toxic, and of starting toxic."""
     r, q = np.empty(len(e)), np.zeros(len(e))
-    steps = [x for _, x in chains(first, size)]
+    steps = [x for _, x in chains(first, size)] if steps is None else steps
     for p, t in enumerate(steps):
         if p == 0:
             r[t] = a[4] + e[t]
@@ -120,9 +120,10 @@ def fitted(features: list[np.ndarray], y: np.ndarray, first: np.ndarray, size: n
     follows = np.ones(len(y), dtype=bool)
     follows[first] = False
     later = np.flatnonzero(follows)
+    steps = [x for _, x in chains(first, size)]
     for _ in range(ROUNDS):
         e = _sum(w, features)
-        r, q = forward_backward(e, a, first, size)
+        r, q = forward_backward(e, a, first, size, steps)
         wrong = sigmoid(r + q) - y
         step = sum(np.bincount(f, wrong, BUCKETS) for f in features) + DECAY * len(y) / BUCKETS * w
         right = e[later] + q[later]
@@ -171,22 +172,9 @@ def train(texts: list[str], toxic: list[bool]) -> dict | None:
     y &= bad
     if not y.any():
         return None
-    chain = np.repeat(np.arange(len(tokens.first)), tokens.size)
-    with_toxic = np.bincount(chain[y], minlength=len(tokens.first)) > 0
-    # Sentences with words that begin as a toxic one does teach the most: all with 4 bytes in common; of those with 3, and of the rest, every k-th is taken.
-    use, most = with_toxic.copy(), 2 * int(with_toxic.sum()) + 1000
-    for kind, limit in ((2, 4 * most), (1, most), (None, most)):
-        others = ~use
-        if kind is not None:
-            stems = np.unique(tokens.hashes[kind][y])
-            others &= np.bincount(chain[stems[np.minimum(np.searchsorted(stems, tokens.hashes[kind]), len(stems) - 1)] == tokens.hashes[kind]], minlength=len(use)) > 0
-        others = np.flatnonzero(others)
-        use[others[:: len(others) // limit + 1]] = True
-    take = use[chain]
-    size = tokens.size[use]
-    first = np.cumsum(size) - size
     features = tokens.buckets()
-    w, a = fitted([f[take] for f in features], y[take].astype(float), first, size)
+    tokens.hashes = []
+    w, a = fitted(features, y.astype(float), tokens.first, tokens.size)
     x = _document(_marginals(w, a, tokens, features), tokens.rows, len(texts))
     b = np.zeros(3)
     want = label.astype(float)
@@ -213,7 +201,7 @@ def _marginals(w: np.ndarray, a: np.ndarray, tokens: Tokens, features: list[np.n
 
 def _document(p: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     total, count = np.bincount(rows, np.where(p >= 0.5, p, 0), n), np.bincount(rows, minlength=n)
-    return np.stack([np.ones(n), np.minimum(total, 8), np.minimum(100 * total / (count + 20), 8)], 1)
+    return np.stack([np.ones(n), np.log1p(total), np.log1p(100 * total / (count + 20))], 1)
 
 
 def score(texts: pa.Array, model: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
