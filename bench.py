@@ -42,15 +42,11 @@ def main() -> None:
     noop = lambda df: df.write.format("noop").mode("overwrite").save()
 
     def rebuild() -> None:
-        c = chunking.chunks(catalog.files(spark, SF), catalog.CHUNK, catalog.OVERLAP)
-        c.write.mode("overwrite").parquet(f"{at}/chunks")
-        c = spark.read.parquet(f"{at}/chunks")
-        lexical.postings(c).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
-        lexical.chunk_stats(c).write.mode("overwrite").parquet(f"{at}/stats")
+        lexical.store(chunking.chunks(catalog.files(spark, SF), catalog.CHUNK, catalog.OVERLAP), at)
 
     try:
         clock("rebuild", rebuild, 3)
-        c, index, stats = (spark.read.parquet(f"{at}/{t}") for t in ("chunks", "postings", "stats"))
+        c, index, stats = (spark.read.parquet(f"{at}/{t}") for t in ("chunks", "postings", "corpus"))
         catalog.files(spark, SF).select("path", "size_bytes", "last_write_utc_ticks").write.parquet(f"{at}/state")
         state, now = spark.read.parquet(f"{at}/state"), catalog.files(spark, SF)
         for share in (0, 1, 10):

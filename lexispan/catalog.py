@@ -40,10 +40,14 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(files(spark, sf), CHUNK, OVERLAP)
 
 
+def corpus(c: DataFrame) -> DataFrame:
+    return lexical.corpus_stats(lexical.chunk_stats(c))
+
+
 def _search(text: str, fresh: bool = False, **options) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = chunks(spark, sf)
-        found = lexical.search(c, lexical.postings(c), lexical.chunk_stats(c), text, file_state=files(spark, sf) if fresh else None, **options)
+        found = lexical.search(c, lexical.postings(c), corpus(c), text, file_state=files(spark, sf) if fresh else None, **options)
         return found.select("path", "line_start", "line_end", F.round("fts_score", 6).alias("fts_score"), "chunk_char_count", *(["last_write_utc_iso"] if fresh else []))
 
     return run
@@ -52,7 +56,7 @@ def _search(text: str, fresh: bool = False, **options) -> Query:
 def _matches(text: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = chunks(spark, sf)
-        s = lexical.scored(lexical.postings(c), lexical.chunk_stats(c), lexical.parse(text))
+        s = lexical.scored(lexical.postings(c), corpus(c), lexical.parse(text))
         return c.select("chunk_id", "path", "line_start").join(s, "chunk_id").select("path", "line_start", F.round("bm25", 6).alias("bm25"))
 
     return run
@@ -82,8 +86,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "chunk_lines": (chunk_lines, f"WITH {oracle.CHUNKS} SELECT chunk_id, path, line_start, line_end, md5(body) AS body_md5 FROM c"),
     "chunk_count_by_ext": (lambda s, d: chunks(s, d).groupBy("extension").agg(F.count("*").alias("n_chunks"), F.countDistinct("path").alias("n_files")), f"WITH {oracle.CHUNKS} SELECT extension, count(*) AS n_chunks, count(DISTINCT path) AS n_files FROM c GROUP BY extension"),
     "tokenize_terms": (lambda s, d: lexical.postings(chunks(s, d)).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.sum("tf").alias("cf")), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, unnest(list_concat(pt, bt)) AS term FROM t) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM u GROUP BY term"),
-    "postings_df": (lambda s, d: lexical.postings(chunks(s, d)).where("term LIKE 'th%'").select("term", "col", "chunk_id", "tf", F.element_at("positions", 1).alias("first_pos")), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, 0::TINYINT AS col, unnest(pt) AS term, generate_subscripts(pt, 1) AS i FROM t UNION ALL SELECT chunk_id, 1::TINYINT, unnest(bt), generate_subscripts(bt, 1) FROM t) SELECT term, col, chunk_id, count(*)::INT AS tf, (min(i) - 1)::INT AS first_pos FROM u WHERE term LIKE 'th%' GROUP BY term, col, chunk_id"),
-    "postings_all": (lambda s, d: lexical.postings(chunks(s, d)).select("term", "col", "chunk_id", "tf", "positions"), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, 0::TINYINT AS col, unnest(pt) AS term, generate_subscripts(pt, 1) AS i FROM t UNION ALL SELECT chunk_id, 1::TINYINT, unnest(bt), generate_subscripts(bt, 1) FROM t) SELECT term, col, chunk_id, count(*)::INT AS tf, list((i - 1)::INT ORDER BY i) AS positions FROM u GROUP BY term, col, chunk_id"),
+    "postings_df": (lambda s, d: lexical.postings(chunks(s, d)).select("term", "col", "chunk_id", "tf", "positions"), f"WITH {oracle.TERMS}, u AS (SELECT chunk_id, 0::TINYINT AS col, unnest(pt) AS term, generate_subscripts(pt, 1) AS i FROM t UNION ALL SELECT chunk_id, 1::TINYINT, unnest(bt), generate_subscripts(bt, 1) FROM t) SELECT term, col, chunk_id, count(*)::INT AS tf, list((i - 1)::INT ORDER BY i) AS positions FROM u GROUP BY term, col, chunk_id"),
     "corpus_stats": (lambda s, d: lexical.corpus_stats(lexical.chunk_stats(chunks(s, d))).select("n_chunks", F.round("avgdl", 6).alias("avgdl")), f"WITH {oracle.TERMS} SELECT count(*) AS n_chunks, round(sum(len(pt) + len(bt))::DOUBLE / count(*), 6) AS avgdl FROM t"),
     "match_prefix_single": (_matches(PREFIX), _matches_sql(PREFIX)),
     "match_and": (_matches(TWO), _matches_sql(TWO)),
@@ -109,8 +112,7 @@ def explain_hit(spark: SparkSession, sf: str) -> DataFrame:
 
 def snippet(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    found = lexical.search(c, lexical.postings(c), lexical.chunk_stats(c), TWO)
-    rows = F.broadcast(found).join(c.select(F.col("chunk_id").alias("hit_id"), "body"), "hit_id")
+    rows = lexical.search(c, lexical.postings(c), corpus(c), TWO, body=True)
     return rows.select("path", "line_start", snippets(lexical.parse(TWO).phrases)(F.col("body")).alias("snippet"))
 
 
@@ -185,18 +187,13 @@ _TOP_SQL = f"ORDER BY round({oracle.dot('embedding', 'q')} / ({oracle.norm('embe
 
 
 def dummy_embed(spark: SparkSession, sf: str) -> DataFrame:
-    e = vectors.embed(chunks(spark, sf), [".md", ".CS"])
-    return e.select("chunk_id", "dim", F.round("norm", 5).alias("norm"), *[F.round(F.col("vec")[i].cast("double"), 5).alias(f"v{i}") for i in (0, 17, 63)])
-
-
-def dummy_embed_all(spark: SparkSession, sf: str) -> DataFrame:
     e = vectors.embed(chunks(spark, sf))
     return e.select("chunk_id", "dim", F.round("norm", 5).alias("norm"), F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
 
 
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    lex = lexical.top(lexical.scored(lexical.postings(c), lexical.chunk_stats(c), lexical.parse(TWO)), 15)
+    lex = lexical.top(lexical.scored(lexical.postings(c), corpus(c), lexical.parse(TWO)), 15)
     q = spark.range(1).select(vectors.embedder("dummy")(F.lit(TWO))).first()[0]
     out = vectors.fused(lex, vectors.top_k(vectors.embed(c), q, 40), 0.5, 0.7, 30)
     return out.select("chunk_id", "hit_kind", *[F.round(k, 5).alias(k) for k in ("fts_score", "vec_score", "rank_score")])
@@ -240,8 +237,7 @@ QUERIES |= {
     "incremental_stale": (lambda s, d: reindex.stale(old_state(s, d), new_listing(s, d)), f"{_STATES_SQL} SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)"),
     "incremental_merge": (merged, f"{_STATES_SQL} SELECT * FROM n"),
     "vec_norms": (lambda s, d: stored(s, d).select("chunk_id", "dim", F.round("norm", 6).alias("norm")), f"SELECT vec_id AS chunk_id, len(embedding)::INT AS dim, round({oracle.norm('embedding')}, 6) AS norm FROM embeddings"),
-    "dummy_embed": (dummy_embed, f"WITH {oracle.CHUNKS}, w AS (SELECT chunk_id, {oracle.embedding('body[1:4000]')} AS raw FROM c WHERE extension IN ('.md', '.cs')), v AS (SELECT chunk_id, {oracle.unit('raw')} AS v FROM w) SELECT chunk_id, len(v)::INT AS dim, round({oracle.norm('v')}, 5) AS norm, " + ", ".join(f"round(v[{i + 1}]::DOUBLE, 5) AS v{i}" for i in (0, 17, 63)) + " FROM v"),
-    "dummy_embed_all": (dummy_embed_all, f"WITH {oracle.CHUNKS}, w AS (SELECT chunk_id, {oracle.embedding('body[1:4000]')} AS raw FROM c), v AS (SELECT chunk_id, {oracle.unit('raw')} AS v FROM w) SELECT chunk_id, len(v)::INT AS dim, round({oracle.norm('v')}, 5) AS norm, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS vec FROM v"),
+    "dummy_embed": (dummy_embed, f"WITH {oracle.CHUNKS}, w AS (SELECT chunk_id, {oracle.embedding('body[1:4000]')} AS raw FROM c), v AS (SELECT chunk_id, {oracle.unit('raw')} AS v FROM w) SELECT chunk_id, len(v)::INT AS dim, round({oracle.norm('v')}, 5) AS norm, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS vec FROM v"),
     "cosine_topk": (cosine_topk, f"{_NEAR_SQL} {_TOP_SQL} 50"),
     "vec_allowed_ext": (vec_allowed_ext, f"{_NEAR_SQL} WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')) {_TOP_SQL} 20"),
     "vec_prune_orphans": (lambda s, d: vectors.prune(stored(s, d), _as_chunks(s, d), [".md"]).select("chunk_id", "dim"), "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),

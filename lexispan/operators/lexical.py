@@ -1,10 +1,12 @@
 """Inverted index and BM25 search.
 
-postings (term, col, chunk_id, tf, positions) and chunk_stats (chunk_id, n_tokens) come from one pass over the chunks; both columns that
-are searched, path (0) and body (1), have postings. Kept as a table in the order of terms, a prefix reads only the row groups it lies in.
+Terms are cut once a chunk and put in order within its row, so postings (term, col, chunk_id, tf, positions, n_tokens) come out of a chunk without a shuffle;
+both columns that are searched, path (0) and body (1), have postings. Kept as a table in the order of terms, a prefix reads only the row groups it lies in;
+the length of each chunk lies beside its postings, and the corpus has its size and mean length in one row, so a search reads no other table for its scores.
 
 A search takes the postings of all phrases in one filter and one shuffle by chunk, as one column of occurrences a phrase; df is the number of
-chunks that have the phrase, over the whole index. Path and extension filters come after that: they don't change scores.
+chunks that have the phrase, over the whole index. Path and extension filters come after that: they don't change scores. Bodies are
+fetched for the hits only, by id, from a table in the order of ids.
 """
 
 from __future__ import annotations
@@ -27,13 +29,35 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", terms(F.col("path")).alias("path_terms"), terms(F.col("body")).alias("body_terms"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, col, chunk_id, tf and positions."""
+def _runs(words: Column) -> Column:
+    """(term, positions) of every term of an array, in the order of terms."""
+    # Sorting (term, position) puts the positions of a term next to each other; a term begins where the one before differs.
+    pairs = F.sort_array(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def cut(ps: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: (i == 0) | (F.get(ps, i)["term"] != F.get(ps, i - 1)["term"]))
+        one = lambda bs: F.transform(bs, lambda b, k: F.struct(F.get(ps, b)["term"].alias("term"), F.transform(F.slice(ps, b + 1, F.coalesce(F.get(bs, k + 1), F.size(ps)) - b), lambda p: p["pos"]).alias("positions")))
+        return F.transform(F.array(begins), one)[0]
+
+    return F.when(F.size(words) > 0, F.transform(F.array(pairs), cut)[0])
+
+
+def grouped(chunks: DataFrame) -> DataFrame:
+    """chunk_id, col, n_tokens (of both columns) and terms (term, positions) of both searched columns: all that an index needs of a chunk."""
     t = tokenized(chunks)
-    both = F.array(F.struct(F.lit(0).cast("tinyint").alias("col"), F.col("path_terms").alias("terms")), F.struct(F.lit(1).cast("tinyint").alias("col"), F.col("body_terms").alias("terms")))
-    sides = t.select("chunk_id", F.inline(both))
-    each = sides.select("chunk_id", "col", F.posexplode("terms").alias("pos", "term"))
-    return each.groupBy("term", "col", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    both = F.array(F.struct(F.lit(0).cast("tinyint").alias("col"), F.col("path_terms").alias("words")), F.struct(F.lit(1).cast("tinyint").alias("col"), F.col("body_terms").alias("words")))
+    sides = t.select("chunk_id", (F.size("path_terms") + F.size("body_terms")).alias("n_tokens"), F.inline(both))
+    return sides.select("chunk_id", "col", "n_tokens", _runs(F.col("words")).alias("terms"))
+
+
+def spread(groups: DataFrame) -> DataFrame:
+    """term, col, chunk_id, tf, positions and n_tokens, of a result of grouped."""
+    return groups.select("col", "chunk_id", "n_tokens", F.inline("terms")).select("term", "col", "chunk_id", F.size("positions").alias("tf"), "positions", "n_tokens")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, col, chunk_id, tf, positions and n_tokens."""
+    return spread(grouped(chunks))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -41,6 +65,22 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return t.select("chunk_id", (F.size("path_terms") + F.size("body_terms")).alias("n_tokens"))
 
 
+def store(chunks: DataFrame, at: str) -> DataFrame:
+    """Writes chunks in the order of ids, postings in that of terms, and the one row of corpus, each as a table below at; gives back the chunks.
+
+    Terms are cut once, into a table that is dropped in the end: sampling for the order of terms reads that table and not the texts."""
+    spark = chunks.sparkSession
+    chunks.repartition("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{at}/chunks")
+    kept = spark.read.parquet(f"{at}/chunks")
+    grouped(kept).write.mode("overwrite").parquet(f"{at}/terms")
+    groups = spark.read.parquet(f"{at}/terms")
+    spread(groups).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
+    corpus_stats(groups.where("col = 1").select("chunk_id", "n_tokens")).coalesce(1).write.mode("overwrite").parquet(f"{at}/corpus")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/terms")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """n_chunks and avgdl, one row."""
     return stats.agg(F.count("*").alias("n_chunks"), (F.sum("n_tokens") / F.count("*")).alias("avgdl"))
@@ -69,14 +109,14 @@ def _count(p: Phrase) -> Column:
 
 
 def occurrences_by_chunk(index: DataFrame, query: Query) -> DataFrame:
-    """chunk_id and f0, f1, ...: how often each phrase of the query is in the chunk; chunks with none are left out."""
+    """chunk_id, n_tokens and f0, f1, ...: how often each phrase of the query is in the chunk; chunks with none are left out."""
     wanted = reduce(lambda a, b: a | b, [phrase_condition(p) for p in query.phrases])
     rows = index.where(wanted)
     names = [f"f{k}" for k in range(len(query.phrases))]
     if all(len(p.terms) == 1 for p in query.phrases):
-        return rows.groupBy("chunk_id").agg(*[_count(p).alias(n) for p, n in zip(query.phrases, names)])
-    by_col = rows.groupBy("chunk_id", "col").agg(*[_count(p).alias(n) for p, n in zip(query.phrases, names)])
-    return by_col.groupBy("chunk_id").agg(*[F.sum(n).alias(n) for n in names])
+        return rows.groupBy("chunk_id").agg(F.first("n_tokens").alias("n_tokens"), *[_count(p).alias(n) for p, n in zip(query.phrases, names)])
+    by_col = rows.repartition("chunk_id").groupBy("chunk_id", "col").agg(F.first("n_tokens").alias("n_tokens"), *[_count(p).alias(n) for p, n in zip(query.phrases, names)])
+    return by_col.groupBy("chunk_id").agg(F.first("n_tokens").alias("n_tokens"), *[F.sum(n).alias(n) for n in names])
 
 
 def holds(node, query: Query) -> Column:
@@ -87,14 +127,13 @@ def holds(node, query: Query) -> Column:
     return reduce((lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b), parts)
 
 
-def scored(index: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
-    """chunk_id and bm25 (negative, the lower the better) of all chunks for which the query holds."""
+def scored(index: DataFrame, corpus: DataFrame, query: Query) -> DataFrame:
+    """chunk_id and bm25 (negative, the lower the better) of all chunks for which the query holds. corpus: the one row of corpus_stats."""
     f = occurrences_by_chunk(index, query)
     n = len(query.phrases)
     # One row: corpus size, mean length and the df of every phrase.
     df = f.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(n)])
-    matched = f.where(holds(query.tree, query)).join(stats, "chunk_id")
-    wide = matched.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus_stats(stats)))
+    wide = f.where(holds(query.tree, query)).crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
     score = F.lit(0.0)
     for p, gates in occurrences(query.tree):
         if not p.terms:
@@ -135,7 +174,7 @@ def normal_extensions(extensions: list[str] | None) -> list[str]:
 HIT = "hit_id long, path string, extension string, hit_kind string, rank_score double, fts_score double, vec_score double, line_start int, line_end int, chunk_char_count int, last_write_utc_iso string"
 
 
-def hits(found: DataFrame, file_state: DataFrame | None) -> DataFrame:
+def hits(found: DataFrame, file_state: DataFrame | None, body: bool = False) -> DataFrame:
     """found (chunk_id, chunk columns, rank_score, fts_score, vec_score, hit_kind) as hits, with the time of the last write where it is known."""
     if file_state is not None:
         found = found.join(file_state.select("path", F.col("last_write_utc_ticks").alias("__ticks")), "path", "left")
@@ -144,7 +183,7 @@ def hits(found: DataFrame, file_state: DataFrame | None) -> DataFrame:
         when = F.lit(None).cast("string")
     return found.select(
         F.col("chunk_id").alias("hit_id"), "path", "extension", "hit_kind", "rank_score", "fts_score", "vec_score", "line_start", "line_end",
-        F.char_length("body").alias("chunk_char_count"), when.alias("last_write_utc_iso"),
+        F.char_length("body").alias("chunk_char_count"), when.alias("last_write_utc_iso"), *["body"] * body,
     )
 
 
@@ -154,20 +193,29 @@ def top(rows: DataFrame, n: int, order: str = "best_first") -> DataFrame:
     return rows.orderBy(best.desc() if order == "reference" else best, "chunk_id").limit(n)
 
 
-def search(chunks: DataFrame, index: DataFrame, stats: DataFrame, text: str, n: int = TOP, file_state: DataFrame | None = None, order: str = "best_first", path_prefix: str | None = None, exclude_prefixes: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
-    """The n hits of a query. Without a usable token there are none. Bodies and write times are joined to the n hits only."""
+def by_id(chunks: DataFrame, ids: list[int]) -> DataFrame:
+    """Chunks of a few ids. Equalities, unlike a long IN list, reach the statistics of the row groups, so a table in the order of ids is read where they are."""
+    return chunks.where(reduce(lambda a, b: a | b, [F.col("chunk_id") == i for i in ids], F.lit(False)))
+
+
+def search(chunks: DataFrame, index: DataFrame, corpus: DataFrame, text: str, n: int = TOP, file_state: DataFrame | None = None, order: str = "best_first", path_prefix: str | None = None, exclude_prefixes: list[str] | None = None, extensions: list[str] | None = None, body: bool = False) -> DataFrame:
+    """The n hits of a query. Without a usable token there are none. The scores of the n hits are collected, so that their chunks are read by id. body: with column body."""
     query = parse(text)
-    if query.tree is None or not query.phrases or not _satisfiable(query.tree):
-        return chunks.sparkSession.createDataFrame([], HIT)
-    found = scored(index, stats, query)
-    filtered = any([path_prefix and path_prefix.strip(), exclude_prefixes, normal_extensions(extensions)])
-    if filtered:
-        found = found.join(keep(chunks.select("chunk_id", "path", "extension"), path_prefix, exclude_prefixes, extensions).select("chunk_id"), "chunk_id", "left_semi")
-    first = top(found, n, order)
-    rows = F.broadcast(first).join(chunks, "chunk_id")  # n rows
+    spark = chunks.sparkSession
+    found = [] if query.tree is None or not query.phrases or not _satisfiable(query.tree) else _best(chunks, scored(index, corpus, query), n, order, path_prefix, exclude_prefixes, extensions)
+    if not found:
+        return spark.createDataFrame([], HIT + ", body string" * body)
+    first = spark.createDataFrame([(r["chunk_id"], r["bm25"]) for r in found], "chunk_id long, bm25 double")
+    rows = F.broadcast(first).join(by_id(chunks, [r["chunk_id"] for r in found]), "chunk_id")  # n rows
     rows = rows.select(*chunks.columns, F.lit("text_fts").alias("hit_kind"), F.col("bm25").alias("rank_score"), F.col("bm25").alias("fts_score"), F.lit(None).cast("double").alias("vec_score"))
     best = F.round("fts_score", 9)
-    return hits(rows, file_state).orderBy(best.desc() if order == "reference" else best, "hit_id")
+    return hits(rows, file_state, body).orderBy(best.desc() if order == "reference" else best, "hit_id")
+
+
+def _best(chunks: DataFrame, found: DataFrame, n: int, order: str, path_prefix: str | None, exclude_prefixes: list[str] | None, extensions: list[str] | None) -> list:
+    if any([path_prefix and path_prefix.strip(), exclude_prefixes, normal_extensions(extensions)]):
+        found = found.join(keep(chunks.select("chunk_id", "path", "extension"), path_prefix, exclude_prefixes, extensions).select("chunk_id"), "chunk_id", "left_semi")
+    return top(found, n, order).collect()
 
 
 def _satisfiable(node) -> bool:
@@ -181,5 +229,5 @@ def explain_hit(chunks: DataFrame, hit_id: int, file_state: DataFrame | None = N
     """The chunk of one id with the first chars of its body as snippet: no row if there is none."""
     row = chunks.where(F.col("chunk_id") == hit_id).limit(1)
     zero = F.lit(0.0)
-    out = hits(row.select(*chunks.columns, F.lit("text_fts").alias("hit_kind"), zero.alias("rank_score"), zero.alias("fts_score"), F.lit(None).cast("double").alias("vec_score")), file_state)
-    return out.join(F.broadcast(row.select(F.col("chunk_id").alias("hit_id"), F.substring("body", 1, chars).alias("snippet"))), "hit_id")
+    out = hits(row.select(*chunks.columns, F.lit("text_fts").alias("hit_kind"), zero.alias("rank_score"), zero.alias("fts_score"), F.lit(None).cast("double").alias("vec_score")), file_state, True)
+    return out.withColumn("snippet", F.substring("body", 1, chars)).drop("body")

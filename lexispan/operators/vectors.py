@@ -16,12 +16,14 @@ CHARS, LEAST_K, MOST_K = 4000, 5, 200
 EMBEDDERS: dict[str, Callable[..., Column]] = {"dummy": lambda text, dim=0, **_: hash_embedding(text, dim or 64)}
 
 
-def embedder(name: str | None) -> Callable[..., Column]:
-    """Registered embedder of a name; an unknown one is the hash embedding."""
+def embedder(name: str | Callable[..., Column] | None) -> Callable[..., Column]:
+    """Registered embedder of a name, or a function as it is; an unknown name is the hash embedding."""
+    if callable(name):
+        return name
     return EMBEDDERS.get((name or "dummy").strip().lower(), EMBEDDERS["dummy"])
 
 
-def embed(chunks: DataFrame, extensions: Sequence[str] | None = None, name: str = "dummy", dim: int = 0, now_ticks: int = 0, **options) -> DataFrame:
+def embed(chunks: DataFrame, extensions: Sequence[str] | None = None, name: str | Callable[..., Column] = "dummy", dim: int = 0, now_ticks: int = 0, **options) -> DataFrame:
     """chunk_id, dim, norm, vec and updated_at_utc_ticks of the chunks with an allowed extension, of the first CHARS characters of each."""
     rows = chunks if extensions is None else chunks.where(F.lower("extension").isin([e.lower() for e in extensions]))
     vec = embedder(name)(F.substring("body", 1, CHARS), dim=dim, **options)

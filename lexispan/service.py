@@ -1,7 +1,8 @@
 """The index as a service: rebuild, reindex, search, hybrid search, explain, status, draft, vectors.
 
 An index is a folder of snapshots. A snapshot is a folder of Parquet tables; the file CURRENT names the one that readers see and is replaced at once, so a
-reader sees all of a rebuild or nothing. Postings lie in the order of terms, so a prefix reads only the row groups it needs. Expected
+reader sees all of a rebuild or nothing. The vectors of a snapshot are named by its file VECTORS, which is replaced at once as well and says what made them.
+Postings lie in the order of terms and chunks in that of ids, so a search reads only the row groups it needs. Expected
 failures are values (no index, semantic search off, nothing to draft); errors of a rebuild are kept in the state and raised.
 """
 
@@ -32,8 +33,6 @@ from lexispan.streaming.observer import Observer, notify
 
 FORMAT_VERSION = 2
 EPOCH_TICKS = source.EPOCH_TICKS
-STATE = "path string, size_bytes long, last_write_utc_ticks long"
-CHUNKS = "chunk_id long, path string, extension string, line_start int, line_end int, body string"
 VECTORS = "chunk_id long, dim int, norm double, vec array<float>, updated_at_utc_ticks long"
 
 
@@ -154,26 +153,40 @@ class Index:
             return None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.current(), name))
+        return self.spark.read.parquet(os.path.join(self.current(), self._vectors()["table"] if name == "vectors" else name))
 
     def has(self, name: str) -> bool:
         at = self.current()
+        if name == "vectors":
+            return bool(self._vectors())
         return bool(at) and os.path.isdir(os.path.join(at, name))
 
+    def _vectors(self) -> dict:
+        """Folder of the vectors in the current snapshot, and the settings they were made with; empty if there are none."""
+        try:
+            with open(os.path.join(self.current() or "", "VECTORS"), encoding="utf-8") as f:
+                return json.load(f)
+        except (OSError, ValueError):
+            return {}
+
     def _snapshot(self, chunks: DataFrame, state: DataFrame) -> str:
         name = f"snapshot-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         at = os.path.join(self.path, name)
-        chunks.write.parquet(f"{at}/chunks")
-        written = self.spark.read.parquet(f"{at}/chunks")
-        lexical.postings(written).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{at}/postings")
-        lexical.chunk_stats(written).write.parquet(f"{at}/chunk_stats")
+        written = lexical.store(chunks, at)
         state.write.parquet(f"{at}/file_state")
-        if self.has("vectors"):  # ids name path and line, so vectors stay right; those of chunks that are gone or changed go
-            old = self.table("vectors").join(self.table("chunks").select("chunk_id", F.md5(F.col("body").cast("binary")).alias("h")), "chunk_id")
-            same = written.select("chunk_id", F.md5(F.col("body").cast("binary")).alias("h"))
-            old.join(same, ["chunk_id", "h"], "left_semi").drop("h").write.parquet(f"{at}/vectors")
+        if known := self._vectors():  # ids name path and line, so vectors stay right; those of chunks that are gone or changed go
+            body = lambda df: df.select("chunk_id", F.xxhash64("body").alias("h"), F.xxhash64(F.lit(1), "body").alias("g"))
+            same = body(self.table("chunks")).join(body(written), ["chunk_id", "h", "g"], "left_semi").select("chunk_id")
+            self.table("vectors").join(same, "chunk_id", "left_semi").write.parquet(f"{at}/vectors")
+            self._replace(os.path.join(name, "VECTORS"), json.dumps(known | {"table": "vectors"}))
         return name
 
+    def _clean(self, keep: Sequence[str | None]) -> None:
+        """Drops snapshots and work folders but some; those of runs that failed as well."""
+        for old in os.listdir(self.path):
+            if old.startswith(("snapshot-", "work-")) and os.path.join(self.path, old) not in keep:
+                shutil.rmtree(os.path.join(self.path, old), ignore_errors=True)
+
     # -- indexing -----------------------------------------------------------
 
     def _files(self, rows: DataFrame, known: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +204,7 @@ class Index:
         return self._run(self.current() is None, observers, keep_newly_skipped)
 
     def _run(self, full: bool, observers: Sequence[Observer] | None, keep_newly_skipped: bool = False) -> ReindexSummary:
-        began = time.time()
+        began, previous = time.time(), self.current()
         self._tell(reindex_state="running", reindex_started_at=now(), reindex_error="", reindex_error_at="")
         try:
             config = self.settings()
@@ -217,18 +230,15 @@ class Index:
                 chunks = reindex.merged_chunks(self.table("chunks"), chunks, text.select("path").unionByName(gone.select("path")))
                 state = reindex.merged_state(self.table("file_state"), state, gone)
             name = self._snapshot(chunks, state)
-            previous = self.current()
             self._replace("CURRENT", name)
             n = text.where("text <> ''").count()
             t = reindex.tallies(skips).first()
             summary = ReindexSummary(n, t[0], t[1], t[2], {r[0]: r[1] for r in reindex.skip_counts(skips).collect()}, [tuple(r) for r in reindex.top_prefixes(skips).collect()], [tuple(r) for r in reindex.sample(skips).collect()], time.time() - began)
-            shutil.rmtree(work, ignore_errors=True)
-            for old in os.listdir(self.path):  # the one before stays for readers that opened it
-                if old.startswith("snapshot-") and old != name and os.path.join(self.path, old) != previous:
-                    shutil.rmtree(os.path.join(self.path, old), ignore_errors=True)
+            self._clean([previous, self.current()])  # the one before stays for readers that opened it
             self._tell(indexed_at=now(), workspace_root=self.workspace, reindex_state="idle", reindex_error="", reindex_error_at="")
             return summary
         except BaseException as e:
+            self._clean([previous, self.current()])
             self._tell(reindex_state="error", reindex_error=f"{type(e).__name__}: {e}"[:2000], reindex_error_at=now())
             raise
 
@@ -236,24 +246,24 @@ class Index:
         return provider(config.embedding_provider, self.path, config.embedding_model_path, config.embedding_vocab_path, config.embedding_dim, config.embedding_sequence_length or 128, config.embedding_do_lower_case, config.embedding_prefer_gpu)
 
     def reindex_vectors(self) -> tuple[int, str | None]:
-        """Embeds the chunks that have no vector yet; the number of vectors, or an error."""
+        """Embeds the chunks that have no vector by the settings at hand; the number of vectors, or an error. Vectors of other settings are made anew."""
         if self.current() is None:
             return 0, "Index database not found; run reindex."
         config = self.settings()
         if not config.semantic_enabled:
             return 0, "Semantic search is disabled in the settings."
-        allowed, chunks = config.vector_extensions(), self.table("chunks")
-        vectors.EMBEDDERS["configured"] = lambda text, **_: self._embedder(config)(text)
-        stamp = EPOCH_TICKS + time.time_ns() // 100
-        at = os.path.join(self.current(), f"vectors-{uuid.uuid4().hex}")
-        old = vectors.prune(self.table("vectors"), chunks, allowed) if self.has("vectors") else self.spark.createDataFrame([], VECTORS)
-        new = vectors.embed(chunks.join(old.select("chunk_id"), "chunk_id", "left_anti"), allowed, "configured", now_ticks=stamp)
-        old.unionByName(new).write.parquet(at)
-        target = os.path.join(self.current(), "vectors")
-        shutil.rmtree(target, ignore_errors=True)
-        os.replace(at, target)
-        n = self.table("vectors").count()
-        dim = self.table("vectors").agg(F.max("dim")).first()[0]
+        allowed, chunks, embed = config.vector_extensions(), self.table("chunks"), self._embedder(config)
+        made_by = {k: getattr(config, k) for k in ("embedding_provider", "embedding_model_path", "embedding_vocab_path", "embedding_dim", "embedding_sequence_length", "embedding_do_lower_case")}
+        stamp, name = EPOCH_TICKS + time.time_ns() // 100, f"vectors-{uuid.uuid4().hex}"
+        known = self._vectors()
+        kept = known and known.get("made_by") == made_by
+        old = vectors.prune(self.table("vectors"), chunks, allowed) if kept else self.spark.createDataFrame([], VECTORS)
+        new = vectors.embed(chunks.join(old.select("chunk_id"), "chunk_id", "left_anti"), allowed, lambda text, **_: embed(text), now_ticks=stamp)
+        old.unionByName(new).write.parquet(os.path.join(self.current(), name))
+        self._replace(os.path.join(os.path.basename(self.current()), "VECTORS"), json.dumps({"table": name, "made_by": made_by}))
+        if known and known["table"] != name:
+            shutil.rmtree(os.path.join(self.current(), known["table"]), ignore_errors=True)
+        n, dim = self.table("vectors").agg(F.count("*"), F.max("dim")).first()
         self._tell(vec_dim=str(dim or 0), vec_indexed_at=now())
         return n, None
 
@@ -262,17 +272,15 @@ class Index:
     def _missing(self, query: str) -> SearchResponse:
         return SearchResponse(FORMAT_VERSION, query, self.path, [], "Index database not found; run reindex.")
 
-    def _with_snippets(self, hits: DataFrame, query: str) -> list:
-        bodies = F.broadcast(hits).join(self.table("chunks").select(F.col("chunk_id").alias("hit_id"), "body"), "hit_id")
-        return bodies.select(*hits.columns, snippets(parse(query).phrases)(F.col("body")).alias("snippet")).collect()
-
     def search(self, query: str, n: int = lexical.TOP, path_prefix: str | None = None, exclude_prefixes: list[str] | None = None, extensions: list[str] | None = None, order: str = "best_first") -> SearchResponse:
         """The n best hits with snippets; order "reference" has the weakest matches first."""
         if self.current() is None:
             return self._missing(query)
-        found = lexical.search(self.table("chunks"), self.table("postings"), self.table("chunk_stats"), query, n, self.table("file_state"), order, path_prefix, exclude_prefixes, extensions)
+        state = self.table("file_state") if self.has("file_state") else None  # a snapshot without it answers, only without times
+        found = lexical.search(self.table("chunks"), self.table("postings"), self.table("corpus"), query, n, state, order, path_prefix, exclude_prefixes, extensions, body=True)
         back = order == "reference"
-        rows = sorted(self._with_snippets(found, query), key=lambda r: (-round(r["fts_score"], 9) if back else round(r["fts_score"], 9), r["hit_id"]))
+        snippet = snippets(parse(query).phrases)(F.col("body")).alias("snippet")
+        rows = sorted(found.select(*[c for c in found.columns if c != "body"], snippet).collect(), key=lambda r: (-round(r["fts_score"], 9) if back else round(r["fts_score"], 9), r["hit_id"]))
         return SearchResponse(FORMAT_VERSION, query, self.path, rows)
 
     def search_hybrid(self, query: str, semantic: bool, alpha: float, beta: float, k: int, n: int = lexical.TOP, path_prefix: str | None = None, exclude_prefixes: list[str] | None = None, extensions: list[str] | None = None, order: str = "best_first", filter_vectors: bool = False) -> SearchResponse:
@@ -290,7 +298,8 @@ class Index:
             near = near.join(lexical.keep(chunks, path_prefix, exclude_prefixes, extensions).select("chunk_id"), "chunk_id", "left_semi")
         lex = self.spark.createDataFrame([(r["hit_id"], r["fts_score"]) for r in first.hits], "chunk_id long, bm25 double")
         best = vectors.fused(lex, near, alpha, beta, n)
-        rows = F.broadcast(best).join(chunks, "chunk_id")
+        best = self.spark.createDataFrame(best.collect(), best.schema)  # n rows
+        rows = F.broadcast(best).join(lexical.by_id(chunks, [r[0] for r in best.select("chunk_id").collect()]), "chunk_id")
         snips = {r["hit_id"]: r["snippet"] for r in first.hits}
         hits = lexical.hits(rows, self.table("file_state")).join(F.broadcast(best.select(F.col("chunk_id").alias("hit_id"))), "hit_id")
         schema = T.StructType([*hits.schema.fields, T.StructField("snippet", T.StringType())])

@@ -13,7 +13,7 @@ def tables(spark, tmp_path_factory):
     chunking.chunks(files, 20, 5).write.parquet(f"{at}/chunks")
     c = spark.read.parquet(f"{at}/chunks")
     lexical.postings(c).repartitionByRange(4, "term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{at}/postings")
-    lexical.chunk_stats(c).write.parquet(f"{at}/stats")
+    lexical.corpus_stats(lexical.chunk_stats(c)).write.parquet(f"{at}/stats")
     vectors.embed(c).write.parquet(f"{at}/vectors")
     return {n: spark.read.parquet(f"{at}/{n}") for n in ("chunks", "postings", "stats", "vectors")}
 
@@ -47,7 +47,7 @@ def test_chunking_and_postings_stay_in_the_jvm(tables):
 
 def test_the_postings_query_returns_every_term_and_position(spark):
     at = "/root/testdata/sf0.001"
-    query, sql = catalog.QUERIES["postings_all"]
+    query, sql = catalog.QUERIES["postings_df"]
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
     want = sorted((*r[:4], tuple(r[4])) for r in db.execute(sql).fetchall())
@@ -59,7 +59,7 @@ def test_the_postings_query_returns_every_term_and_position(spark):
 
 def test_the_embedding_query_returns_whole_vectors_of_all_chunks(spark):
     at = "/root/testdata/sf0.001"
-    query, sql = catalog.QUERIES["dummy_embed_all"]
+    query, sql = catalog.QUERIES["dummy_embed"]
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
     want = {r[0]: r[1:] for r in db.execute(sql).fetchall()}

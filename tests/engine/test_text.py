@@ -89,7 +89,7 @@ def test_search_against_an_fts_index(spark):
     except sqlite3.OperationalError:
         pytest.skip("no full-text module")
     c = spark.createDataFrame([(i, f"src/f{i}.md", ".md", 1, 1, b) for i, b in enumerate(BODIES)], "chunk_id long, path string, extension string, line_start int, line_end int, body string").cache()
-    index, stats = lexical.postings(c).cache(), lexical.chunk_stats(c).cache()
+    index, stats = lexical.postings(c).cache(), lexical.corpus_stats(lexical.chunk_stats(c)).cache()
     for text, want in wanted.items():
         q = Q.parse(text)
         got = {r["chunk_id"]: r["bm25"] for r in lexical.scored(index, stats, q).collect()}
