@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are tables by now; it does so when the driver collects its garbage, which may take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(work: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """work on docs whose own columns of names in "__" are out of the way of the operator's, and have their names again in the result."""
     away = {c: f"own{i}.{c}" for i, c in enumerate(docs.columns) if c.startswith("__")}

@@ -7,8 +7,9 @@ Every document is a query, and no link between different texts is lost.
    in size whatever the input): a gram that is more frequent than its counter's share of all grams comes late, others go by how frequent their words are.
    Any order is right; a good one is fast.
 2. Top of the tree. In this order the first gram that two alike sets share leaves at least THRESHOLD / (1 + THRESHOLD) * (n + m) grams from it on in both, so
-   only the grams of the first part of a set (its prefix) open a bucket. In every bucket each set is linked to the smallest one if remaining lengths allow.
-3. These links are verified in prefix trees: sets, most frequent grams first, are stored in a tree whose unbranched stretches are one node, BLOCK at a time;
+   only the grams of the first part of a set (its prefix) open a bucket. In every bucket each set makes a pair with the smallest one if remaining lengths allow.
+3. A pair whose marks (the parities of a hash table of its grams, some 1/30 of a text) differ in more places than alike sets can differ in grams is out. The
+   others are verified in prefix trees: sets, most frequent grams first, are stored in a tree whose unbranched stretches are one node, BLOCK at a time;
    the smaller set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining lengths cannot reach the threshold.
    Verified links make classes.
 4. What is left are pairs of different classes that share a bucket and whose remaining lengths allow a link; they are verified in the same way, and classes that are linked
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import BASE, apart, gram_instances, gram_sets, mixed, remove, shared_folder, slices, utf8, word_hashes, written
+from lexispan.llm.common import apart, freed, gram_instances, gram_sets, mixed, remove, shared_folder, slices, utf8, word_hashes, written
 
 N, THRESHOLD = 2, 0.5
 #: Counts in each of the two tables that make the order; what is broadcast is 3 bytes for each.
@@ -42,7 +43,7 @@ BROADCAST_ROWS = 1 << 18
 KEY = ("v", "w")
 #: Whether a text has words.
 _WORDS = "text RLIKE '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'"
-ENTRY = "gram long, v long, w long, n int, left int"
+ENTRY = "gram long, v long, n int, left int"
 
 
 class _Node:
@@ -225,7 +226,7 @@ def _rows(columns: dict[str, np.ndarray], most: int = 1 << 16) -> Iterator[pa.Re
 
 
 def entries(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
-    """gram, v, w, n, left: each gram of the prefix of each set, with the set's size and how many grams it has from there on."""
+    """gram, v, n, left: each gram of the prefix of each set, with the set's size and how many grams it has from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -236,8 +237,7 @@ def entries(texts: DataFrame, order, n: int, threshold: float) -> DataFrame:
                 full = np.repeat(size, size)
                 keep = full - place >= threshold * full - 1e-9
                 row = np.repeat(np.arange(len(size)), size)[keep]
-                v, w = (part.column(k).to_numpy() for k in KEY)
-                yield from _rows({"gram": grams[keep].view(np.int64), "v": v[row], "w": w[row], "n": full[keep].astype(np.int32), "left": (full - place)[keep].astype(np.int32)})
+                yield from _rows({"gram": grams[keep].view(np.int64), "v": part.column("v").to_numpy()[row], "n": full[keep].astype(np.int32), "left": (full - place)[keep].astype(np.int32)})
 
     return texts.mapInArrow(run, ENTRY)
 
@@ -247,65 +247,102 @@ def _allowed(n: np.ndarray, left: np.ndarray, m: np.ndarray, rest: np.ndarray, t
     return (np.minimum(left, rest) >= threshold / (1 + threshold) * (n + m) - 1e-9) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
 
 
-def buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """The entries of buckets of two sets or more; hv and hw name the smallest set of the bucket where an entry's set may be alike with it.
+def _columns(batch: pa.RecordBatch, held: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    x = {k: batch.column(k).to_numpy() for k in batch.schema.names}
+    return x if held is None else {k: np.concatenate([held[k], c]) for k, c in x.items()}
 
-    Streams over the entries in order of gram and size: only the first of a bucket is held, so a bucket may have any size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, told = None, False  # the first entry of the bucket at hand, and whether it was put out
-        for batch in batches:
-            if not batch.num_rows:
+def _starts(gram: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1]) if len(gram) else np.zeros(0, np.int64)
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], int | None]]:
+    """Rows sorted by gram: whole buckets, many at a time; one of more than HELD rows comes alone and in parts, with its gram."""
+    held = flood = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _columns(batch, held)
+        if flood is not None:
+            end = int(np.searchsorted(x["gram"] != flood, True)) if x["gram"][0] == flood else 0
+            if end:
+                yield {k: c[:end] for k, c in x.items()}, flood
+                x = {k: c[end:] for k, c in x.items()}
+            if not len(x["gram"]):
+                held = None
                 continue
-            x = _columns(batch, held)
-            first = np.ones(len(x["gram"]), dtype=bool)
-            first[1:] = x["gram"][1:] != x["gram"][:-1]
-            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            # Copies of the first that come from other tasks make no bucket.
-            other = (x["v"] != x["v"][head]) | (x["w"] != x["w"][head])
-            link = other & _allowed(x["n"], x["left"], x["n"][head], x["left"][head], threshold)
-            out = other.copy()
-            out[head[other]] = True
-            last = head[-1]
-            again = last == 0 and told
-            out[0] &= not told
-            told = bool(out[last]) or again
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[k][out]) for k in x] + [pa.array(x[k][head][out], mask=~link[out]) for k in KEY], [*x, "hv", "hw"])
-            held = {k: c[last : last + 1] for k, c in x.items()}
-
-    ordered = rows.repartition("gram").sortWithinPartitions("gram", "n", "v", "w")
-    return ordered.mapInArrow(run, f"{ENTRY}, hv long, hw long")
+        flood, last = None, int(_starts(x["gram"])[-1])
+        if last:
+            yield {k: c[:last] for k, c in x.items()}, None
+        held = {k: c[last:] for k, c in x.items()}
+        if len(held["gram"]) > HELD:
+            flood = held["gram"][0]
+            yield held, flood
+            held = None
+    if held is not None:
+        yield held, None
+
+
+def _useful(x: dict[str, np.ndarray], threshold: float) -> dict[str, np.ndarray]:
+    """Without entries whose set has too few grams left for any partner in the bucket; rows are sorted by gram, size and v."""
+    share = threshold / (1 + threshold)
+    for _ in range(2):
+        if not len(x["gram"]):
+            return x
+        starts = _starts(x["gram"])
+        many = np.diff(np.append(starts, len(x["gram"])))
+        head = np.repeat(starts, many)
+        other = (x["v"] != x["v"][head]).astype(np.int64)
+        several = np.repeat(np.add.reduceat(other, starts) > 0, many)
+        # The smallest partner of the first set is not below itself; of any other, not below the first and the size that the threshold allows.
+        least = np.maximum(np.ceil(threshold * x["n"] - 1e-9), x["n"][head])
+        keep = several & (x["left"] >= share * (x["n"] + least) - 1e-9)
+        x = {k: c[keep] for k, c in x.items()}
+    return x
 
 
-def _columns(batch: pa.RecordBatch, held: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
-    x = {k: batch.column(k).to_numpy() for k in batch.schema.names}
-    return x if held is None else {k: np.concatenate([held[k], c]) for k, c in x.items()}
+def buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """The entries of buckets of two sets or more that may have a partner; h names the smallest set of the bucket where an entry's set may be alike with it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None  # the smallest set of a bucket that comes in parts
+        for x, flood in _in_buckets(batches):
+            if flood is None:
+                x, first = _useful(x, threshold), None
+                if not len(x["gram"]):
+                    continue
+                starts = _starts(x["gram"])
+                head = np.repeat(starts, np.diff(np.append(starts, len(x["gram"]))))
+                h, n, left = (x[k][head] for k in ("v", "n", "left"))
+            else:
+                first = first if first is not None and first["gram"][0] == flood else {k: c[:1] for k, c in x.items()}
+                h, n, left = (np.repeat(first[k], len(x["gram"])) for k in ("v", "n", "left"))
+            none = (x["v"] == h) | ~_allowed(x["n"], x["left"], n, left, threshold)
+            for lo in range(0, len(none), 1 << 16):
+                cut = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[k][cut]) for k in x] + [pa.array(h[cut], mask=none[cut])], [*x, "h"])
 
-def crossing(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (av, aw; bv, bw) of different classes that share a bucket and may be alike; of a bucket that has too many such pairs its sets (av, aw) under one key.
+    return rows.repartition("gram").sortWithinPartitions("gram", "n", "v").mapInArrow(run, f"{ENTRY}, h long")
 
-    rows: entries with the class (cv, cw) of each set."""
 
-    def several(x: dict[str, np.ndarray], starts: np.ndarray) -> np.ndarray:
-        head = np.repeat(starts, np.diff(np.append(starts, len(x["gram"]))))
-        return np.logical_or.reduceat((x["cv"] != x["cv"][head]) | (x["cw"] != x["cw"][head]), starts)
+def crossing(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a, b of different classes that share a bucket and may be alike; of a bucket that has too many such pairs its sets (a) under one key.
+
+    rows: entries with the class c of each set."""
 
-    def put(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray | None = None, key: int = 0) -> pa.RecordBatch:
+    def put(a: np.ndarray, b: np.ndarray | None = None, key: int = 0) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key)) if b is None else none, *(pa.array(x[k][a]) for k in KEY), *(none if b is None else pa.array(x[k][b]) for k in KEY)], ["key", "av", "aw", "bv", "bw"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key)) if b is None else none, pa.array(a), none if b is None else pa.array(b)], ["key", "a", "b"])
 
     def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(x["n"]), dtype=bool)
-        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["w"][1:] != x["w"][:-1])
+        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["n"][1:] != x["n"][:-1])
         x = {k: c[new] for k, c in x.items()}
         total = len(x["n"])
-        of = np.unique(np.stack([x["cv"], x["cw"]], 1), axis=0, return_inverse=True)[1].ravel()
-        size = np.bincount(of)
+        size = np.unique(x["c"], return_counts=True)[1]
         if (total * total - (size * size).sum()) // 2 > FEW * max(total, FEW):
             # Buckets of the same sets, as the grams of one passage open, have one key.
-            yield put(x, np.arange(total), key=int(np.bitwise_xor.reduce(x["v"] ^ np.roll(x["w"], 1))))
+            yield put(x["v"], key=int(np.bitwise_xor.reduce(mixed(x["v"].view(np.uint64))).view(np.int64)))
             return
         reach = np.searchsorted(x["n"], x["n"] / threshold + 1e-9, side="right")
         for lo in range(0, total, 1024):
@@ -313,37 +350,69 @@ def crossing(rows: DataFrame, threshold: float) -> DataFrame:
             many = np.maximum(reach[i] - i - 1, 0)
             a = np.repeat(i, many)
             b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + a + 1
-            ok = (of[a] != of[b]) & _allowed(x["n"][a], x["left"][a], x["n"][b], x["left"][b], threshold)
+            ok = (x["c"][a] != x["c"][b]) & _allowed(x["n"][a], x["left"][a], x["n"][b], x["left"][b], threshold)
             if ok.any():
-                yield put(x, a[ok], b[ok])
+                yield put(x["v"][a[ok]], x["v"][b[ok]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = flood = None  # the bucket at hand; the gram of one that is too large to be held
-        for batch in batches:
-            if not batch.num_rows:
+        for x, flood in _in_buckets(batches):
+            if flood is not None:
+                yield put(x["v"], key=int(flood))
                 continue
-            x = _columns(batch, held)
-            starts = np.concatenate([[0], np.flatnonzero(x["gram"][1:] != x["gram"][:-1]) + 1])
+            starts = _starts(x["gram"])
             ends = np.append(starts[1:], len(x["gram"]))
-            if flood is not None and x["gram"][0] == flood:
-                yield put(x, np.arange(ends[0]), key=int(flood))
-                x = {k: c[ends[0] :] for k, c in x.items()}
-                starts, ends = starts[1:] - ends[0], ends[1:] - ends[0]
-                if not len(starts):
-                    held = None
-                    continue
-            for k in np.flatnonzero(several(x, starts)[:-1]):
+            several = np.logical_or.reduceat(x["c"] != x["c"][np.repeat(starts, ends - starts)], starts)
+            for k in np.flatnonzero(several):
                 yield from pairs({name: c[starts[k] : ends[k]] for name, c in x.items()})
-            held = {k: c[starts[-1] :] for k, c in x.items()}
-            if len(held["gram"]) > HELD:
-                flood = held["gram"][0]
-                yield put(held, np.arange(len(held["gram"])), key=int(flood))
-                held = None
-        if held is not None and several(held, np.zeros(1, np.int64))[0]:
-            yield from pairs(held)
 
-    ordered = rows.repartition("gram").sortWithinPartitions("gram", "n", "v", "w")
-    return ordered.mapInArrow(run, "key long, av long, aw long, bv long, bw long")
+    return rows.repartition("gram").sortWithinPartitions("gram", "n", "v").mapInArrow(run, "key long, a long, b long")
+
+
+def signed(texts: DataFrame, n: int) -> DataFrame:
+    """v, w, n and mark of every text: mark has a bit for each of a power of two of slots, at least twice as many as grams, that tells whether an odd number of grams falls on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
+        for batch in batches:
+            for part in slices(once(batch), "text"):
+                grams, at = gram_sets(*utf8(part.column("text")), n)
+                size = np.diff(at)
+                bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+                lo = np.cumsum(bits) - bits
+                row = np.repeat(np.arange(len(size)), size)
+                odd = np.bincount(lo[row] + (grams & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+                packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+                ends = pa.array(np.append(lo, bits.sum()) // 8, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("w"), pa.array(size.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(packed)])], ["v", "w", "n", "mark"])
+
+    return texts.mapInArrow(run, "v long, w long, n int, mark binary").dropDuplicates([*KEY])
+
+
+def sieved(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs av, aw, bv, bw (a the smaller set) of distinct pairs a, b whose marks allow likeness: sets differ in at least as many grams as their marks in bits, so no alike pair is lost.
+
+    A v that two texts have stands for both."""
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in ("an", "bn"))
+            keep = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+            most = (n + m) - 2 * np.ceil(share * (n + m) - 1e-9)
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(k)[int(i)].as_buffer(), np.uint64) for k in ("am", "bm"))
+                while len(x) > len(y):  # a mark of half the slots is one half against the other
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep[i] = int(np.bitwise_count(x ^ y).sum()) <= most[i]
+            out = batch.select(["av", "aw", "bv", "bw"]).filter(pa.array(keep))
+            if out.num_rows:
+                yield out
+
+    side = lambda x: marks.select(F.col("v").alias(x), F.col("w").alias(f"{x}w"), F.col("n").alias(f"{x}n"), F.col("mark").alias(f"{x}m"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("av"), "aw", "an", "am", F.col("b").alias("bv"), "bw", "bn", "bm")
+    return both.mapInArrow(run, "av long, aw long, bv long, bw long")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,17 +510,24 @@ def classes(texts: DataFrame, folder: str, n: int = N, threshold: float = THRESH
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(order_of(*counts(texts, n)))
     opened = written(buckets(entries(texts, order, n, threshold), threshold), folder, "buckets")
-    tried = written(opened.where("hv IS NOT NULL").select(F.col("hv").alias("av"), F.col("hw").alias("aw"), F.col("v").alias("bv"), F.col("w").alias("bw")).distinct(), folder, "pairs")
-    links = written(verified(tried, texts, f"{folder}/0", n, threshold), folder, "links0")
+    marks = written(signed(texts, n), folder, "marks")
+    freed(spark)
+    tried = written(opened.where("h IS NOT NULL").select(F.col("h").alias("a"), F.col("v").alias("b")).distinct(), folder, "tried")
+    maybe = written(sieved(tried, marks, threshold), folder, "maybe0")
+    links = written(verified(maybe, texts, f"{folder}/0", n, threshold), folder, "links0")
     labels = written(components(_edges(links), f"{folder}/0"), folder, "labels0")
-    of = _small(labels.select(F.col("a.v").alias("v"), F.col("a.w").alias("w"), F.col("b.v").alias("cv"), F.col("b.w").alias("cw")))
-    rows = opened.select("gram", *KEY, "n", "left").join(of, [*KEY], "left").withColumns({"cv": F.when(F.col("cw").isNull(), F.col("v")).otherwise(F.col("cv")), "cw": F.coalesce("cw", "w")})
+    freed(spark)
+    # A v that two texts have is in no class yet, so that all its pairs are tried.
+    of = labels.select(F.col("a.v").alias("v"), F.xxhash64("b").alias("c")).groupBy("v").agg(F.count("*").alias("texts"), F.first("c").alias("c")).where("texts = 1").select("v", "c")
+    rows = opened.select("gram", "v", "n", "left").join(_small(of), "v", "left").withColumn("c", F.coalesce("c", "v"))
     met = written(crossing(rows, threshold), folder, "crossing")
-    pairs = written(met.where("bv IS NOT NULL").select("av", "aw", "bv", "bw").distinct().join(tried, ["av", "aw", "bv", "bw"], "left_anti"), folder, "pairs1")
-    links = links.unionByName(written(verified(pairs, texts, f"{folder}/1", n, threshold), folder, "links1"))
-    hot = met.where("bv IS NULL").select(F.col("key").alias("kv"), F.lit(0).cast("long").alias("kw"), F.col("av").alias("v"), F.col("aw").alias("w")).distinct()
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    maybe = written(sieved(pairs, marks, threshold), folder, "maybe1")
+    links = links.unionByName(written(verified(maybe, texts, f"{folder}/1", n, threshold), folder, "links1"))
+    hot = met.where("b IS NULL").select(F.col("key").alias("kv"), F.lit(0).cast("long").alias("kw"), F.col("a").alias("v")).distinct()
     if not hot.isEmpty():
-        links = links.unionByName(written(among(written(hot, folder, "hot"), texts, f"{folder}/2", n, threshold), folder, "links2"))
+        hot = written(hot.join(marks.select(*KEY), "v"), folder, "hot")
+        links = links.unionByName(written(among(hot, texts, f"{folder}/2", n, threshold), folder, "links2"))
     return written(components(_edges(links), f"{folder}/all"), folder, "labels")
 
 
