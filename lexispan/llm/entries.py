@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda spark, sf: toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op2_embedding_dedup": lambda spark, sf: neargraph.groups(table(spark, sf, "embeddings")),
+        "near_copies_of_embeddings": lambda spark, sf: neargraph.groups(neargraph.with_near_copies(table(spark, sf, "embeddings"))),
         "op10_html_extraction": lambda spark, sf: template.extracted(table(spark, sf, "pages")),
         "op3_chat_format": lambda spark, sf: chat.conversations(table(spark, sf, "conversations")),
         "op4_sharding": lambda spark, sf: sharding.assignment(table(spark, sf, "documents")),
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_embedding_dedup": neargraph.GROUPS_SQL,
+        "near_copies_of_embeddings": neargraph.COPIES_SQL,
         "op3_chat_format": chat.SQL,
         "op4_sharding": sharding.ASSIGNMENT_SQL,
         "op5_jaccard_join": jaccard.GROUPS_SQL,

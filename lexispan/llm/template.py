@@ -6,13 +6,14 @@ SUPPORT of the host's pages have it. A class is valid if its tokens come in one
 pages. A valid class whose occurrences all lie in one and the same gap of another is nested in it; a class that lies across the
 gaps of another is dropped if it has the fewer tokens. What stands between the tokens of the innermost class is that gap's slot.
 
+Hosts of fewer than MIN_PAGES pages drop out first, by their urls.
 1. Candidates: every task counts, over the pages of a host that it sees, which tokens SUPPORT of them have. A token that is frequent
    over all pages is frequent in one task at least, so nothing is lost.
 2. Vectors: candidates are counted on all pages; vectors are compared by a sum of hashes of (page, count) and by their support.
 3. Validity and nesting are tried on all pages, and 4. slots extracted from all pages. Only per-host lists travel between the passes;
    they are broadcast up to BROADCAST_BYTES, beyond which they are joined by host.
 
-Entities are resolved; scripts, styles, comments and attributes are no text. A host of fewer than MIN_PAGES pages, or without a valid class, has no
+Entities are resolved; scripts, styles, comments and attributes are no text; one that isn't closed reaches to the end of the page. A tag that isn't closed is text. A host of fewer than MIN_PAGES pages, or without a valid class, has no
 template: its pages have one slot "0". So have pages without a host. On a page that breaks the order of a class the class is left out. A null page has null
 slots, an empty one none. Repeated page_ids count each by itself. Very long pages are read whole; other columns play no part. No rows, no result.
 """
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from lexispan.llm.common import shared_folder, written
 
 SUPPORT, SIZE, MIN_PAGES, TOLERANCE = 0.8, 3, 5, 0.01
-BROADCAST_BYTES, FLUSH = 32 << 20, 400_000
-TAG = re.compile(r"(?is)<(?:script\b.*?</script\s*+>|style\b.*?</style\s*+>|!--.*?-->|!?/?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>)")
+BROADCAST_BYTES, HOSTS, FLUSH = 32 << 20, 200_000, 400_000
+#: A tag ends at the first ">" out of quotes; a "<" before that makes it text. Each attempt stops at the next "<", so a page takes time in proportion to its length.
+TAG = re.compile(r"(?i)<(?:!--|(script|style)(?=[\s/>])|!?/?[a-z](?:\"[^\"]*+\"|'[^']*+'|[^\"'<>])*+>)")
+CLOSE = {name: re.compile(rf"(?i)</{name}\s*+>") for name in ("script", "style")}
 NAME = re.compile(r"<!?/?[a-zA-Z][^\s>/]*")
 ATTRIBUTE = re.compile(r"[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -45,33 +48,41 @@ def tokens(page: str) -> tuple[list[str], list[str | None]]:
     """Roles of all tokens of a page, and the words among them (None for what is no text)."""
     keys: list[str] = []
     words: list[str | None] = []
-    stack, at, inside = ["", ""], 0, " "
-    for m in TAG.finditer(page):
+    stack, at, inside, open_ = ["", ""], 0, " ", Counter()
+    while m := TAG.search(page, at):
         if between := page[at : m.start()].split():
             keys += [inside + w for w in between]
             words += between
         t, at = m[0], m.end()
-        if t.startswith("<!--"):
-            keys.append(f"{inside}<!--")
+        if t == "<!--" or m[1]:
+            if t == "<!--":
+                end = page.find("-->", at)
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                end = CLOSE[m[1].lower()].search(page, at)
+                at = end.end() if end else len(page)
+            keys.append(inside + t.lower())
             words.append(None)
             continue
         name = NAME.match(t)[0].lower()
         bare = name[1:]
         if bare[0] == "/":
             bare = bare[1:]
-            if bare in stack:
-                while stack.pop() != bare:
-                    pass
+            if open_[bare]:
+                while (top := stack.pop()) != bare:
+                    open_[top] -= 1
+                open_[bare] -= 1
                 inside = stack[-1] + " "
             keys.append(inside + name)
             words.append(None)
             continue
         if bare in SELF_CLOSING and stack[-1] == bare:
             stack.pop()
+            open_[bare] -= 1
             inside = stack[-1] + " "
         keys.append(inside + name)
         words.append(None)
-        if name in ("<script", "<style") or bare[0] == "!":
+        if bare[0] == "!":
             continue
         if len(t) > len(name) + 2:
             for a in ATTRIBUTE.findall(t[len(name) : -1]):
@@ -79,6 +90,7 @@ def tokens(page: str) -> tuple[list[str], list[str | None]]:
                 words.append(None)
         if bare not in VOID and not t.endswith("/>"):
             stack.append(bare)
+            open_[bare] += 1
             inside = bare + " "
     if between := page[at:].split():
         keys += [inside + w for w in between]
@@ -223,18 +235,29 @@ def relations(pages: DataFrame) -> DataFrame:
             for c in present:
                 found[host, c, -1, int(c in bad)] += 1
             good = present - bad
-            gap, where = dict.fromkeys(good, -1), {}
-            for _, c, i in hits:
+            gap, where, changed, seen = dict.fromkeys(good, -1), {}, {}, {}
+            for t, (_, c, i) in enumerate(hits):
                 if c not in good:
                     continue
                 gap[c] = i if i < known.sizes[c] - 1 else -1
-                for a in good:
-                    if a != c:
-                        was = where.setdefault((c, a), gap[a])
-                        if was != gap[a]:
+                if c not in seen:
+                    where |= {(c, a): gap[a] for a in good if a != c}
+                else:
+                    for a in reversed(changed):  # the latest first; what changed before c was last met says nothing new
+                        if changed[a] < seen[c]:
+                            break
+                        if a != c and where[c, a] != gap[a]:
                             where[c, a] = -1
+                changed.pop(c, None)
+                changed[c] = seen[c] = t
             for (c, a), g in where.items():
                 found[host, c, a, g] += 1
+            if len(found) > FLUSH:
+                yield from flush(found)
+                found = Counter()
+        yield from flush(found)
+
+    def flush(found: Counter) -> Iterator[pa.RecordBatch]:
         if found:
             yield _table([(*k, n) for k, n in found.items()], ["host", "inner", "outer", "gap", "n"])
 
@@ -313,7 +336,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
     rows = hosted(pages)
-    usable = rows.where("host IS NOT NULL AND html IS NOT NULL")
+    # Hosts of too few pages are known by their urls alone, and nothing else is read of them before the last pass.
+    large = rows.groupBy("host").count().where((F.col("host").isNotNull()) & (F.col("count") >= MIN_PAGES)).select("host")
+    usable = rows.where("host IS NOT NULL AND html IS NOT NULL").join(F.broadcast(large) if large.limit(HOSTS + 1).count() <= HOSTS else large, "host", "left_semi").select("page_id", "host", "html")
 
     def shared(lists: DataFrame, name: str) -> DataFrame:
         """host, payload as a table, to be broadcast if it is small."""

@@ -1,4 +1,6 @@
+import json
 import random
+import time
 from collections import Counter, defaultdict
 
 from lexispan.llm import template as T
@@ -55,3 +57,38 @@ def test_crossing_classes_fall():
     facts = [(c, -1, 0, 10) for c in range(3)] + [(1, 0, 1, 10), (0, 1, -1, 10), (2, 0, -1, 10), (0, 2, -1, 10), (1, 2, -1, 10), (2, 1, -1, 10)]
     assert T.nested(lists, facts) == [lists[0], lists[1]]
     assert T.nested(lists, [(0, -1, 1, 10), (1, -1, 0, 10)]) == [lists[1]]
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    for part in ("<script ", "<!--", "<a ", "<a \"", "<a>", "</b>", "<style>"):
+        began = time.thread_time()
+        T.tokens("<a>" * 1000 + part * (1_000_000 // len(part)))
+        assert time.thread_time() - began < 8, part
+    assert T.tokens("a <script> b <p>c")[1] == ["a", None] and T.tokens("a<!-- b <p>c")[1] == ["a", None]
+
+
+def test_relations_of_many_classes(spark):
+    """Against comparing every class with every other at each of its tokens."""
+    rng = random.Random(5)
+    lists = [[f"{c}.{i}" for i in range(3)] for c in range(5)]
+    pages = []
+    for _ in range(40):
+        seq = []
+        for c in rng.sample(range(5), 5):
+            at = sorted(rng.randrange(len(seq) + 1) for _ in range(3))
+            for k, p in enumerate(at):
+                seq.insert(p + k, f"{c}.{k}")
+        pages.append(seq)
+    want = Counter()
+    for seq in pages:
+        gap, where = dict.fromkeys(range(5), -1), {}
+        for k in seq:
+            c, i = map(int, k.split("."))
+            gap[c] = i if i < 2 else -1
+            for a in range(5):
+                if a != c and where.setdefault((c, a), gap[a]) != gap[a]:
+                    where[c, a] = -1
+        want.update((c, a, g) for (c, a), g in where.items())
+    rows = [(k, "h", " ".join(x), json.dumps([[" " + t for t in x] for x in lists])) for k, x in enumerate(pages)]
+    got = T.relations(spark.createDataFrame(rows, "page_id long, host string, html string, payload string")).where("outer >= 0").collect()
+    assert {(r["inner"], r["outer"], r["gap"]): r["n"] for r in got} == dict(want)
