@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan.functions.snippet import snippets
-from lexispan.functions.text import identifier_parts
+from lexispan.functions.text import MARK, identifier_parts
 from lexispan.functions.vectors import norm
 from lexispan.functions.wordpiece import encoder
 from lexispan.operators import chunking, headers, lexical, reindex, vectors
-from lexispan.plans import fixtures, oracle
+from lexispan.plans import fixtures, oracle, served
 from lexispan.settings import Settings
 from lexispan.sources.files import binary, skip_reason
 from lexispan.sources.ignore import ignored
@@ -99,7 +99,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "search_extensions": (_search("la", extensions=["JSON", " .toml "]), oracle.search("la", where="extension IN ('.json', '.toml')")),
     "search_freshness_join": (_search("src3 d1", fresh=True), oracle.search("src3 d1", fresh=True)),
     "split_identifier": (split_identifier, f"WITH n AS ({_NAMES_SQL}) SELECT ident, array_to_string({oracle.parts('ident')}, '|') AS parts FROM n"),
-    "expand_body": (lambda s, d: chunks(s, d).where(F.contains("body", F.lit("__hci_camel:"))).select("path", "line_start", F.split_part("body", F.lit("__hci_camel:"), F.lit(-1)).alias("expansions")), f"WITH {oracle.CHUNKS} SELECT path, line_start, string_split(body, '__hci_camel:')[-1] AS expansions FROM c WHERE contains(body, '__hci_camel:')"),
+    "expand_body": (lambda s, d: chunks(s, d).where(F.contains("body", F.lit(f"{MARK}camel:"))).select("path", "line_start", F.split_part("body", F.lit(f"{MARK}camel:"), F.lit(-1)).alias("expansions")), f"WITH {oracle.CHUNKS} SELECT path, line_start, string_split(body, '{oracle.MARK}camel:')[-1] AS expansions FROM c WHERE contains(body, '{oracle.MARK}camel:')"),
 }
 
 
@@ -244,6 +244,10 @@ QUERIES |= {
     "hybrid_fusion": (hybrid_fusion, _FUSION_SQL),
     "first_chunk_per_path": (lambda s, d: reindex.first_chunks(chunks(s, d)).select("path", "line_start", "line_end", F.md5(F.col("excerpt").cast("binary")).alias("excerpt_md5")), f"WITH {oracle.CHUNKS} SELECT path, line_start, line_end, md5(body[1:900]) AS excerpt_md5 FROM c WHERE line_start = 1"),
     "index_status": (index_status, f"WITH {oracle.CHUNKS} SELECT count(*) AS document_count, count(DISTINCT path) AS files, max(line_end) AS longest FROM c"),
+    "service_search": (served.served(files, served.search), oracle.search(TWO, fresh=True)),
+    "service_reindex": (served.served(files, served.reindexed), served.REINDEXED_SQL),
+    "service_accounts": (served.served(files, served.accounts, served.SCAN, served.IGNORE), served.accounts_sql(_IGNORED_SQL)),
+    "service_vectors": (served.served(files, served.vectors_of_settings, served.SEMANTIC), f"WITH {oracle.CHUNKS} SELECT 32 AS dim, count(*) AS n FROM c"),
     "wordpiece_encode": (wordpiece_encode, None),
     "observer_feed": (lambda s, d: feed_counts(s.read.parquet(f"{d}/events.parquet")).select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n"), "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }

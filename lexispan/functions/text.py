@@ -7,8 +7,9 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "__hci_"
-IDENTIFIER = r"\b[_a-zA-Z][_a-zA-Z0-9]*\b"
+#: Begins every line that is added to a body; part of the stored format.
+MARK = "__lex_"
+IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]*\b"
 TERM = r"[\p{L}\p{N}\p{M}\p{Co}]+"
 #: Where a word without underscores is cut: before a capital, between letters and digits, before the last capital of a run.
 CUTS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexispan.functions.text import MARK
-from lexispan.operators.headers import HANDLER, PARAMETER
-from lexispan.plans.query import And, Or, Phrase, occurrences, parse
+from lexispan.plans.query import And, Or, Phrase
+
+MARK = "__lex_"
 
 EXTENSIONS = {"en": ".md", "de": ".cs", "fr": ".json", "es": ".toml"}
 CHUNK, OVERLAP = 20, 5
@@ -15,6 +15,32 @@ FILES = f"""f AS (SELECT doc_id, 'docs/' || source || '/' || lang || '/d' || doc
   FROM (SELECT *, CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items())} ELSE '.txt' END AS ext FROM documents))"""
 
 
+def _one(*terms: str) -> Phrase:
+    return Phrase(terms)
+
+
+def _cut(whole: str, *split: str) -> Or:
+    return Or((_one(whole), And(tuple(map(_one, split)))))
+
+
+#: The trees of the queries that are checked, by hand.
+TREES = {
+    "the": _one("the"),
+    "la": _one("la"),
+    "of.the": _one("of", "the"),
+    "the src1": And((_one("the"), _cut("src1", "src", "1"))),
+    "src3 d1": And((_cut("src3", "src", "3"), _cut("d1", "d", "1"))),
+    "thanThe ofTo": And((_cut("thanthe", "than", "the"), _cut("ofto", "of", "to"))),
+}
+
+
+def leaves(node, gates: tuple = ()) -> list[tuple[Phrase, tuple]]:
+    """Phrases of a tree, each with the branches of Or that it is in."""
+    if isinstance(node, Phrase):
+        return [(node, gates)]
+    return [x for p in node.parts for x in leaves(p, (*gates, p) if isinstance(node, Or) else gates)]
+
+
 def parts(x: str) -> str:
     """List of the parts of identifier x."""
     segments = f"list_filter(string_split({x}, '_'), lambda s: s <> '')"
@@ -57,22 +83,23 @@ def _holds(node, phrases: list[Phrase]) -> str:
 
 def scores(text: str) -> str:
     """CTEs that end in s: chunks for which a query holds, with bm25."""
-    q = parse(text)
-    n = range(len(q.phrases))
-    counts = ", ".join(f"{_count(p, 'pt')} + {_count(p, 'bt')} AS f{k}" for k, p in enumerate(q.phrases))
+    tree = TREES[text]
+    phrases = list(dict.fromkeys(p for p, _ in leaves(tree)))
+    n = range(len(phrases))
+    counts = ", ".join(f"{_count(p, 'pt')} + {_count(p, 'bt')} AS f{k}" for k, p in enumerate(phrases))
     total = []
-    for p, gates in occurrences(q.tree):
+    for p, gates in leaves(tree):
         if p.terms:
-            k = q.phrases.index(p)
+            k = phrases.index(p)
             raw = f"ln((n_chunks - n{k} + 0.5e0) / (n{k} + 0.5e0))"
             part = f"(CASE WHEN {raw} <= 0 THEN 1e-6 ELSE {raw} END) * f{k} * 2.2e0 / (f{k} + 1.2e0 * (0.25e0 + 0.75e0 * d / avgdl))"
             for g in gates:
-                part = f"CASE WHEN {_holds(g, q.phrases)} THEN {part} ELSE 0e0 END"
+                part = f"CASE WHEN {_holds(g, phrases)} THEN {part} ELSE 0e0 END"
             total.append(f"({part})")
     return f"""{TERMS},
 m AS (SELECT * EXCLUDE (pt, bt), len(pt) + len(bt) AS d, {counts} FROM t),
 g AS (SELECT count(*) AS n_chunks, sum(d)::DOUBLE / count(*) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in n)} FROM m),
-s AS (SELECT m.*, -({" + ".join(total)}) AS bm25 FROM m, g WHERE {_holds(q.tree, q.phrases)})"""
+s AS (SELECT m.*, -({" + ".join(total)}) AS bm25 FROM m, g WHERE {_holds(tree, phrases)})"""
 
 
 ISO = "strftime(make_timestamp((last_write_utc_ticks - 621355968000000000) // 10), '%Y-%m-%dT%H:%M:%S') || '.' || lpad((last_write_utc_ticks % 10000000)::VARCHAR, 7, '0') || 'Z'"
@@ -115,11 +142,11 @@ def _line(directive: str, rest: str) -> str:
 
 RAZOR_TAGS = " || ".join([
     f"['{MARK}kind:razor']", rf"CASE WHEN regexp_matches(text, '(?m)^\s*@code\b') THEN ['{MARK}razor:has_code_block'] ELSE [] END",
-    _tags("page", _line("page", r"(.+?)\s*$"), then="trim(x, '\"')"), _tags("layout", _line("layout", r"(\S+)\s*$")), _tags("namespace", _line("namespace", r"(\S+)\s*$"), cap=4),
-    _tags("using", _line("using", r"(.+?)\s*$"), cap=40), _tags("implements", _line("implements", r"(.+?)\s*$")), _tags("inherits", _line("inherits", r"(\S+)\s*$")),
-    _tags("typeparam", _line("typeparam", r"(\w+)\s*$")), _tags("handler", HANDLER, distinct="case"), _tags("attribute", _line("attribute", r"\[([^\]]+)\]"), cap=24),
+    _tags("page", _line("page", r"([^\r\n]+?)\s*$"), then="trim(x, '\"')"), _tags("layout", _line("layout", r"(\S+)\s*$")), _tags("namespace", _line("namespace", r"(\S+)\s*$"), cap=4),
+    _tags("using", _line("using", r"([^\r\n]+?)\s*$"), cap=40), _tags("implements", _line("implements", r"([^\r\n]+?)\s*$")), _tags("inherits", _line("inherits", r"(\S+)\s*$")),
+    _tags("typeparam", _line("typeparam", r"(\w+)\s*$")), _tags("handler", r"\b@(on[a-z]+)\b", distinct="case"), _tags("attribute", _line("attribute", r"\[([^\]]+)\]"), cap=24),
     _pairs("inject", _line("inject", r"(\S+)\s+(\S+)\s*$"), 32, " "),
-    "list_filter(" + _tags("parameter", PARAMETER, cap=48) + ", lambda x: regexp_matches(x, ':[A-Z]'))",
+    "list_filter(" + _tags("parameter", r"\[\s*Parameter(\([^\]]*\))?\s*\][\s\w.,<>\[\]]+\s(\w+)\s*\{", 2, cap=48) + ", lambda x: regexp_matches(x, ':[A-Z]'))",
     _tags("component", r"<([A-Z][A-Za-z0-9_.]+)\b", cap=50, distinct="exact"),
 ])
 AXAML_TAGS = " || ".join([

@@ -30,7 +30,7 @@ def test_random_identifiers_split_alike(spark):
 def test_body_keeps_its_text_and_gets_the_parts(spark):
     body = "class PlanBoardLeaf { int plain; PlanBoardLeaf x_y; }"
     out = spark.createDataFrame([(body,), ("nothing here",), ("",)], "b string").select(X.expanded_body(F.col("b"))).collect()
-    assert [r[0] for r in out] == [body + "\n__hci_camel:\nPlan Board Leaf\nx y\n", "nothing here", ""]
+    assert [r[0] for r in out] == [body + "\n__lex_camel:\nPlan Board Leaf\nx y\n", "nothing here", ""]
 
 
 def test_queries():
