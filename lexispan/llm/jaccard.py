@@ -36,8 +36,8 @@ from lexispan.llm.common import apart, freed, gram_instances, gram_sets, mixed,
 N, THRESHOLD = 2, 0.5
 #: Counts in each of the two tables that make the order; what is broadcast is 3 bytes for each.
 COUNTERS, STRIDE = 1 << 20, 1 << 16
-#: Sets in one prefix tree; pairs for each set of a bucket beyond which it is walked in blocks; sets of a bucket that are held at once.
-BLOCK, FEW, HELD = 256, 64, 1 << 20
+#: Sets in one prefix tree; pairs for each set of a bucket beyond which it is walked in blocks; sets of a bucket, and pairs, that are held at once.
+BLOCK, FEW, HELD, PAIRS = 256, 64, 1 << 20, 1 << 20
 #: Keys or labels that are broadcast, if a count finds no more of them; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 KEY = ("v", "w")
@@ -330,40 +330,55 @@ def crossing(rows: DataFrame, threshold: float) -> DataFrame:
 
     rows: entries with the class c of each set."""
 
-    def put(a: np.ndarray, b: np.ndarray | None = None, key: int = 0) -> pa.RecordBatch:
+    def put(a: np.ndarray, b: np.ndarray | None = None, key: np.ndarray | None = None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key)) if b is None else none, pa.array(a), none if b is None else pa.array(b)], ["key", "a", "b"])
+        return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), pa.array(a), none if b is None else pa.array(b)], ["key", "a", "b"])
 
-    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def whole(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All buckets of x at once."""
         new = np.ones(len(x["n"]), dtype=bool)
-        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["n"][1:] != x["n"][:-1])
+        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["n"][1:] != x["n"][:-1]) | (x["gram"][1:] != x["gram"][:-1])
         x = {k: c[new] for k, c in x.items()}
-        total = len(x["n"])
-        size = np.unique(x["c"], return_counts=True)[1]
-        if (total * total - (size * size).sum()) // 2 > FEW * max(total, FEW):
-            # Buckets of the same sets, as the grams of one passage open, have one key.
-            yield put(x["v"], key=int(np.bitwise_xor.reduce(mixed(x["v"].view(np.uint64))).view(np.int64)))
+        starts = _starts(x["gram"])
+        many = np.diff(np.append(starts, len(x["gram"])))
+        several = np.logical_or.reduceat(x["c"] != x["c"][np.repeat(starts, many)], starts)
+        x = {k: c[np.repeat(several, many)] for k, c in x.items()}
+        if not len(x["gram"]):
             return
-        reach = np.searchsorted(x["n"], x["n"] / threshold + 1e-9, side="right")
-        for lo in range(0, total, 1024):
-            i = np.arange(lo, min(lo + 1024, total))
-            many = np.maximum(reach[i] - i - 1, 0)
-            a = np.repeat(i, many)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + a + 1
+        many = many[several]
+        of = np.repeat(np.arange(len(many)), many)
+        # Pairs of different classes in each bucket: all but those of one class.
+        order = np.lexsort((x["c"], of))
+        edge = np.flatnonzero(np.append(True, (of[order][1:] != of[order][:-1]) | (x["c"][order][1:] != x["c"][order][:-1])))
+        alike = np.bincount(of[order][edge], np.diff(np.append(edge, len(of))).astype(float) ** 2, len(many))
+        hot = (many.astype(float) ** 2 - alike) / 2 > FEW * np.maximum(many, FEW)
+        if hot.any():
+            # Buckets of the same sets, as the grams of one passage open, have one key.
+            keys = np.bitwise_xor.reduceat(mixed(x["v"].view(np.uint64)), np.cumsum(many) - many).view(np.int64)
+            yield put(x["v"][hot[of]], key=keys[of][hot[of]])
+            x, of, many = {k: c[~hot[of]] for k, c in x.items()}, of[~hot[of]], many[~hot]
+            of = np.repeat(np.arange(len(many)), many)
+        end = np.cumsum(many)[of] if len(of) else of
+        partners = end - np.arange(len(of)) - 1
+        total = np.cumsum(partners)
+        lo = 0
+        while lo < len(of):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+            i = np.arange(lo, hi)
+            a = np.repeat(i, partners[lo:hi])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi]) + a + 1
             ok = (x["c"][a] != x["c"][b]) & _allowed(x["n"][a], x["left"][a], x["n"][b], x["left"][b], threshold)
             if ok.any():
-                yield put(x["v"][a[ok]], x["v"][b[ok]])
+                met = np.unique(np.stack([x["v"][a[ok]], x["v"][b[ok]]], 1), axis=0)
+                yield put(met[:, 0].copy(), met[:, 1].copy())
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, flood in _in_buckets(batches):
             if flood is not None:
-                yield put(x["v"], key=int(flood))
-                continue
-            starts = _starts(x["gram"])
-            ends = np.append(starts[1:], len(x["gram"]))
-            several = np.logical_or.reduceat(x["c"] != x["c"][np.repeat(starts, ends - starts)], starts)
-            for k in np.flatnonzero(several):
-                yield from pairs({name: c[starts[k] : ends[k]] for name, c in x.items()})
+                yield put(x["v"], key=np.full(len(x["v"]), flood))
+            else:
+                yield from whole(x)
 
     return rows.repartition("gram").sortWithinPartitions("gram", "n", "v").mapInArrow(run, "key long, a long, b long")
 
