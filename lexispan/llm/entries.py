@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": lambda spark, sf: mixing.manifest(table(spark, sf, "documents")),
         "op8_quality_rules": lambda spark, sf: quality.report(table(spark, sf, "documents")),
         "op9_sentencepiece": lambda spark, sf: pieces.encoded(table(spark, sf, "documents")),
+        "sentencepiece_round_trip": lambda spark, sf: pieces.restored(table(spark, sf, "documents")),
     }
 
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard.GROUPS_SQL,
         "op7_mixing": mixing.MANIFEST_SQL,
         "op8_quality_rules": quality.REPORT_SQL,
+        "sentencepiece_round_trip": pieces.RESTORED_SQL,
     }

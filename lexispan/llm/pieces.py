@@ -260,3 +260,22 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(np.diff(at).astype(np.int32)), pa.array(faithful(texts, ids, at, vocabulary))], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
+
+
+def restored(docs: DataFrame, model_file: str | None = None) -> DataFrame:
+    """doc_id and text of every document, decoded from its ids alone; null where the text is."""
+    model = docs.sparkSession.sparkContext.broadcast(vars(load(model_file or default_model())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary.__new__(Vocabulary)
+        vars(vocabulary).update(model.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [None if ids is None else decoded(ids, vocabulary) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded(docs, model_file).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+RESTORED_SQL = "SELECT doc_id, text FROM documents"

@@ -1,4 +1,5 @@
 import random
+import time
 
 from lexispan.llm import chat
 
@@ -14,6 +15,18 @@ def test_every_conversation_comes_back():
         assert n == sum(chat.parsed(chat.rendered([t], [False])) != ([t], True) for t in turns)
 
 
+def test_many_conflicting_turns_take_one_pass():
+    began = time.thread_time()
+    text, n = chat.formatted([("user", "<|im_end|> and <|im_start|>")] * 10_000)
+    assert n == 10_000 and time.thread_time() - began < 5
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "user", "b"), (1, 1, "user", "c")], "conv_id long, turn long, role string, text string")
+    out = chat.conversations(df).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"]) for r in out) == [(False, 1), (True, 1), (True, 1)]
+
+
 def test_plain_turns_are_not_escaped():
     assert chat.formatted([("user", "a < b | c"), ("assistant", "")]) == ("<|im_start|>user\na < b | c<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n", 0)
 

@@ -9,7 +9,7 @@ from lexispan.llm import langid, mixing, quality
 
 def test_quality_against_sql(spark):
     rng = random.Random(1)
-    lines = ["A sentence ends here.", "no end", "a | b | c", "Licensed under MIT", "the the the the x.", "###!! @@ b.", "", "  ", "Über «quote!»", 'He said "so."', "one | two.", "LOREM IPSUM dolor.", "\ttab. ", "§ 5 …"]
+    lines = ["A sentence ends here.", "no end", "a | b | c", "Licensed under MIT", "the the the the x.", "###!! @@ b.", "", "  ", "Über «quote!»", 'He said "so."', "one | two.", "LOREM IPSUM dolor.", "\ttab. ", "§ 5 …", "文章在这里。", "वाक्य यहाँ है।", "جملة؟"]
     rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8)))) for k in range(400)]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
@@ -27,6 +27,17 @@ def test_quality_edges(spark):
     assert quality.cleaned(docs.limit(0)).count() == 0 and quality.report(docs).count() == 4
 
 
+def test_boilerplate_is_loss_and_sentences_end_in_any_script(spark):
+    notice = "All rights reserved by the holders of the rights.\n"
+    rows = [(1, notice * 9 + "Fine text here."), (2, notice + "A text that is long enough to be worth the notice before it. " * 3), (3, "这是一个句子。\n另一个句子！"), (4, "यह एक वाक्य है।"), (5, "هل هذه جملة؟"), (6, "no end at all")]
+    out = {r["doc_id"]: r["text"] for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(out) == [2, 3, 4, 5] and "rights" not in out[2] and out[3] == rows[2][1]
+
+
+def test_the_offset_is_drawn_by_seed():
+    assert len({mixing.offset_of(s) for s in range(50)}) > 45 and all(0 <= mixing.offset_of(s) < mixing.UNIT for s in range(50)) and mixing.offset_of(mixing.SEED) == mixing.OFFSET
+
+
 def test_mixing_is_one_systematic_draw_a_source(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(50)]), rng.choice([None, "src0", "src1", "z", ""]), rng.choice([None, "", "x" * rng.randint(1, 300)]), 7) for _ in range(500)]
