@@ -17,7 +17,7 @@ from lexispan.functions.wordpiece import encoder
 from lexispan.operators import chunking, headers, lexical, reindex, vectors
 from lexispan.plans import fixtures, oracle, served
 from lexispan.settings import Settings
-from lexispan.sources.files import binary, skip_reason
+from lexispan.sources.files import skip_reason
 from lexispan.sources.ignore import ignored
 from lexispan.streaming.observer import feed_counts
 
@@ -231,8 +231,8 @@ QUERIES |= {
     "skip_sample": (lambda s, d: reindex.sample(skips(s, d)), f"{_SKIPS_SQL} SELECT path, reason FROM skips ORDER BY path, reason LIMIT 50"),
     "ext_effective_filter": (lambda s, d: files(s, d).where(F.lower("extension").isin(NARROW.extensions())).groupBy("extension").agg(F.count("*").alias("n")), f"WITH {oracle.FILES} SELECT extension, count(*) AS n FROM f WHERE extension IN ('.md', '.cs') GROUP BY extension"),
     "gitignore_filter": (lambda s, d: files(s, d).select("path", ignored(F.col("path"), fixtures.RULES).alias("ignored")), f"WITH {oracle.FILES} SELECT path, {_IGNORED_SQL} AS ignored FROM f"),
-    "binary_filter": (lambda s, d: s.createDataFrame(fixtures.BLOBS, "name string, hex string").select("name", binary(F.unhex("hex"), 8).alias("is_binary")), f"WITH b AS ({oracle.values(fixtures.BLOBS, 'name, hex')}) SELECT name, len(list_filter(range(least(8, length(hex) // 2)), lambda i: substr(hex, i * 2 + 1, 2) = '00')) > 0 AS is_binary FROM b"),
-    "size_filter": (lambda s, d: files(s, d).select("path", (F.col("size_bytes") > 4000).alias("too_large")), f"WITH {oracle.FILES} SELECT path, size_bytes > 4000 AS too_large FROM f"),
+    "binary_filter": (served.probed, f"WITH b AS ({oracle.values(fixtures.BLOBS, 'name, hex')}) SELECT name, len(list_filter(range(least(8, length(hex) // 2)), lambda i: substr(hex, i * 2 + 1, 2) = '00')) > 0 AS is_binary FROM b"),
+    "size_filter": (lambda s, d: files(s, d).select("path", F.coalesce(skip_reason(Settings(exclude_path_segments=[], max_indexed_file_bytes=4000), []) == "too_large", F.lit(False)).alias("too_large")), f"WITH {oracle.FILES} SELECT path, size_bytes > 4000 AS too_large FROM f"),
     "incremental_changed": (lambda s, d: reindex.changed(new_listing(s, d), old_state(s, d)), f"{_STATES_SQL} SELECT n.* FROM n LEFT JOIN o USING (path) WHERE o.path IS NULL OR o.size_bytes <> n.size_bytes OR o.last_write_utc_ticks <> n.last_write_utc_ticks"),
     "incremental_stale": (lambda s, d: reindex.stale(old_state(s, d), new_listing(s, d)), f"{_STATES_SQL} SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)"),
     "incremental_merge": (merged, f"{_STATES_SQL} SELECT * FROM n"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexispan.plans import fixtures, oracle
 from lexispan.service import EPOCH_TICKS, Index
+from lexispan.sources.files import opened
 
 QUERY = "the src1"
 SETTINGS = """[fts]
@@ -99,6 +100,19 @@ def vectors_of_settings(index: Index, docs: DataFrame) -> DataFrame:
     return index.spark.createDataFrame([tuple(r) for r in rows], "dim int, n long")
 
 
+def probed(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the files of fixtures.BLOBS are opened as binary, with a probe of 8 bytes."""
+    root = tempfile.mkdtemp(prefix="blobs-")
+    try:
+        for name, text in fixtures.BLOBS:
+            with open(os.path.join(root, name), "wb") as f:
+                f.write(bytes.fromhex(text))
+        rows = opened(spark.createDataFrame([(n, os.path.join(root, n)) for n, _ in fixtures.BLOBS], "name string, abs_path string"), 8)
+        return spark.createDataFrame([(r["name"], r["reason"] == "binary") for r in rows.collect()], "name string, is_binary boolean")
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
 SEMANTIC = SETTINGS + '[semantic]\nenabled = true\n[semantic.embeddings]\nprovider = "dummy"\ndim = 64\n'
 SCAN = SETTINGS.replace("[fts]\n", "[fts]\nmax_indexed_file_bytes = 4000\n")
 _CHANGED = "FROM (SELECT doc_id, CASE lang WHEN 'es' THEN text || chr(10) || 'src1 the' ELSE text END AS text, lang, source FROM documents WHERE source <> 'src7')"

@@ -113,19 +113,22 @@ def scope_folder(base: str, workspace: str, solution: str | None) -> str:
 class Index:
     """One index of one workspace."""
 
-    def __init__(self, spark: SparkSession, workspace: str, solution: str | None = None, folder: str = ".lexispan"):
+    def __init__(self, spark: SparkSession, workspace: str, solution: str | None = None, folder: str = ".lexispan", legacy: str | None = None):
+        """legacy: an older folder that is read as long as there is no index in folder."""
         self.spark, self.workspace = spark, os.path.abspath(workspace)
-        self.path = os.path.join(self.workspace, scope_folder(folder, self.workspace, solution))
-        self.folder = folder
+        place = lambda f: os.path.join(self.workspace, scope_folder(f, self.workspace, solution))
+        self.path, self.folder = place(folder), folder
+        self.places = [self.path] + ([place(legacy)] if legacy else [])
 
     # -- settings, state and snapshots ------------------------------------
 
     def settings(self) -> S.Settings:
-        """Settings of the scope's folder; a settings file of the workspace's index is taken over by a new scope."""
+        """Settings of the scope's folder; a settings file of the workspace's index, or of the older folder, is taken over by a new one."""
         mine, shared = os.path.join(self.path, "settings.toml"), os.path.join(self.workspace, self.folder, "settings.toml")
-        if not os.path.isfile(mine) and os.path.isfile(shared):
-            os.makedirs(self.path, exist_ok=True)
-            shutil.copyfile(shared, mine)
+        for other in [shared, *(os.path.join(p, "settings.toml") for p in self.places[1:])]:
+            if not os.path.isfile(mine) and os.path.isfile(other):
+                os.makedirs(self.path, exist_ok=True)
+                shutil.copyfile(other, mine)
         return S.load(self.path)
 
     def meta(self) -> dict[str, str]:
@@ -146,11 +149,13 @@ class Index:
         os.replace(part, os.path.join(self.path, name))
 
     def current(self) -> str | None:
-        try:
-            with open(os.path.join(self.path, "CURRENT"), encoding="utf-8") as f:
-                return os.path.join(self.path, f.read().strip())
-        except OSError:
-            return None
+        for place in self.places:
+            try:
+                with open(os.path.join(place, "CURRENT"), encoding="utf-8") as f:
+                    return os.path.join(place, f.read().strip())
+            except OSError:
+                continue
+        return None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.current(), self._vectors()["table"] if name == "vectors" else name))
@@ -247,7 +252,7 @@ class Index:
 
     def reindex_vectors(self) -> tuple[int, str | None]:
         """Embeds the chunks that have no vector by the settings at hand; the number of vectors, or an error. Vectors of other settings are made anew."""
-        if self.current() is None:
+        if self.current() is None or os.path.dirname(self.current()) != self.path:
             return 0, "Index database not found; run reindex."
         config = self.settings()
         if not config.semantic_enabled:

@@ -19,6 +19,8 @@ from lexispan.sources.ignore import ignored, rules_of
 
 LISTING = "path string, abs_path string, extension string, size_bytes long, last_write_utc_ticks long"
 EPOCH_TICKS = 621355968000000000
+#: Files that a task holds at once.
+TOGETHER = 64
 
 
 def roots(workspace: str, settings: Settings) -> list[str]:
@@ -90,11 +92,6 @@ def skip_reason(settings: Settings, rules: Sequence[str]) -> Column:
     )
 
 
-def binary(content: Column, probe: int) -> Column:
-    """Whether there is a zero byte among the first probe bytes."""
-    return F.contains(F.substring(content, 1, probe), F.lit(b"\0"))
-
-
 def decoded(data: bytes) -> str:
     """Text of a file by its byte order mark, else UTF-8; what isn't valid is replaced."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -106,20 +103,20 @@ def decoded(data: bytes) -> str:
 def opened(files: DataFrame, probe: int) -> DataFrame:
     """files with text and reason: binary, io_error, or null with the text of the file."""
 
+    def read(path: str) -> tuple[str | None, str | None]:
+        try:
+            with open(path, "rb") as f:
+                data = f.read()
+        except OSError:
+            return None, "io_error"
+        return (None, "binary") if b"\0" in data[:probe] else (decoded(data), None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row, text, reason = batch.slice(k, 1), None, None
-                try:
-                    with open(row.column("abs_path")[0].as_py(), "rb") as f:
-                        data = f.read()
-                    if b"\0" in data[:probe]:
-                        reason = "binary"
-                    else:
-                        text = decoded(data)
-                except OSError:
-                    reason = "io_error"
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string()), pa.array([reason], pa.string())], [*row.schema.names, "text", "reason"])
+            for lo in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(lo, TOGETHER)
+                done = [read(p) for p in part.column("abs_path").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.string())], [*part.schema.names, "text", "reason"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes)
     return files.mapInArrow(run, f"{schema}, text string, reason string")

@@ -165,3 +165,37 @@ def test_stream_of_files(spark, tmp_path):
     q = ingest(watched(spark, str(tmp_path / "in"), "event_id long, ts timestamp, event_type string"), lambda b, k: got.extend(r["event_id"] for r in b.collect()), str(tmp_path / "c"))
     q.awaitTermination(60)
     assert sorted(got) == list(range(12)) and feed_counts(df).agg(F.sum("n")).first()[0] == 12
+
+
+def test_vectors_follow_the_settings(spark, workspace):
+    index = Index(spark, workspace)
+    settings = '[semantic]\nenabled = true\n[semantic.embeddings]\nprovider = "dummy"\ndim = {}\n'
+    os.makedirs(index.path)
+    for dim in (64, 128):
+        with open(os.path.join(index.path, "settings.toml"), "w", encoding="utf-8") as f:
+            f.write(settings.format(dim))
+        index.reindex()
+        n, error = index.reindex_vectors()
+        assert error is None and n == index.table("chunks").count() and [r[0] for r in index.table("vectors").select("dim").distinct().collect()] == [dim]
+        stamp = index.table("vectors").agg(F.max("updated_at_utc_ticks")).first()[0]
+        index.reindex_vectors()
+        assert index.table("vectors").agg(F.max("updated_at_utc_ticks")).first()[0] == stamp
+    assert any(h["hit_kind"] == "text_vector" for h in index.search_hybrid("beta", True, 0.5, 0.5, 50).hits)
+    assert not [x for x in os.listdir(index.path) if x.startswith("work-")]
+
+
+def test_an_older_folder_is_read_until_there_is_an_index(spark, workspace):
+    Index(spark, workspace, folder=".older").rebuild()
+    index = Index(spark, workspace, legacy=".older")
+    assert paths(index.search("PlanBoardLeaf")) == ["src/PlanBoardLeaf.cs"] and index.reindex_vectors()[1] and not os.path.exists(os.path.join(index.path, "CURRENT"))
+    put(workspace, docs__b_dot_md="epsilon")
+    index.reindex()
+    assert paths(index.search("epsilon")) == ["docs/b.md"] and not Index(spark, workspace, folder=".older").search("epsilon").hits
+
+
+def test_a_failed_run_leaves_nothing_behind(spark, workspace, monkeypatch):
+    index = Index(spark, workspace)
+    monkeypatch.setattr("lexispan.service.lexical.store", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.rebuild()
+    assert not [x for x in os.listdir(index.path) if x.startswith(("work-", "snapshot-"))] and index.meta()["reindex_state"] == "error"
