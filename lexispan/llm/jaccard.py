@@ -7,7 +7,8 @@ Every document is a query, and no link between different texts is lost.
    in size whatever the input): a gram that is more frequent than its counter's share of all grams comes late, others go by how frequent their words are.
    Any order is right; a good one is fast.
 2. Top of the tree. In this order the first gram that two alike sets share leaves at least THRESHOLD / (1 + THRESHOLD) * (n + m) grams from it on in both, so
-   only the grams of the first part of a set (its prefix) open a bucket. In every bucket each set makes a pair with the smallest one if remaining lengths allow.
+   only the grams of the first part of a set (its prefix) open a bucket. In every bucket each set makes a pair with the smallest one if remaining lengths allow; in one of
+   SOME sets or fewer, with every other.
 3. A pair whose marks (the parities of a hash table of its grams, some 1/30 of a text) differ in more places than alike sets can differ in grams is out. The
    others are verified in prefix trees: sets, most frequent grams first, are stored in a tree whose unbranched stretches are one node, BLOCK at a time;
    the smaller set walks the tree, overlaps add up along shared paths, and subtrees are left out if the remaining lengths cannot reach the threshold.
@@ -36,8 +37,9 @@ from lexispan.llm.common import apart, freed, gram_instances, gram_sets, mixed,
 N, THRESHOLD = 2, 0.5
 #: Counts in each of the two tables that make the order; what is broadcast is 3 bytes for each.
 COUNTERS, STRIDE = 1 << 20, 1 << 16
-#: Sets in one prefix tree; pairs for each set of a bucket beyond which it is walked in blocks; sets of a bucket, and pairs, that are held at once.
-BLOCK, FEW, HELD, PAIRS = 256, 64, 1 << 20, 1 << 20
+#: Sets in one prefix tree; pairs for each set of a bucket beyond which it is walked in blocks; sets of a bucket, and pairs, that are held at once;
+#: sets of a bucket up to which all its pairs are tried at once.
+BLOCK, FEW, HELD, PAIRS, SOME = 256, 64, 1 << 20, 1 << 20, 4
 #: Keys or labels that are broadcast, if a count finds no more of them; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 KEY = ("v", "w")
@@ -301,26 +303,59 @@ def _useful(x: dict[str, np.ndarray], threshold: float) -> dict[str, np.ndarray]
     return x
 
 
+def _partners(many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within stretches of rows, many rows each, some PAIRS at a time."""
+    end = np.repeat(np.cumsum(many), many)
+    after = end - np.arange(len(end)) - 1
+    total, lo = np.cumsum(after), 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+        a = np.repeat(np.arange(lo, hi), after[lo:hi])
+        yield a, np.arange(len(a)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi]) + a + 1
+        lo = hi
+
+
+def _once_each(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Without copies of a set in a bucket; rows are sorted by gram, size and v."""
+    new = np.ones(len(x["gram"]), dtype=bool)
+    new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["n"][1:] != x["n"][:-1]) | (x["gram"][1:] != x["gram"][:-1])
+    return {k: c[new] for k, c in x.items()}
+
+
 def buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """The entries of buckets of two sets or more that may have a partner; h names the smallest set of the bucket where an entry's set may be alike with it."""
+    """The entries of buckets of two sets or more that may have a partner; h names the smallest set of the bucket where an entry's set may be alike with it.
+
+    Of a bucket of SOME sets or fewer only the pairs (h, v) that may be alike are left, without a gram: most buckets are such, and need no second look."""
+
+    def put(x: dict[str, np.ndarray], h: np.ndarray, none: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(none), 1 << 16):
+            cut = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[k][cut]) for k in ("gram", "v", "n", "left")] + [pa.array(h[cut], mask=none[cut])], ["gram", "v", "n", "left", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None  # the smallest set of a bucket that comes in parts
         for x, flood in _in_buckets(batches):
-            if flood is None:
-                x, first = _useful(x, threshold), None
-                if not len(x["gram"]):
-                    continue
-                starts = _starts(x["gram"])
-                head = np.repeat(starts, np.diff(np.append(starts, len(x["gram"]))))
-                h, n, left = (x[k][head] for k in ("v", "n", "left"))
-            else:
+            if flood is not None:
                 first = first if first is not None and first["gram"][0] == flood else {k: c[:1] for k, c in x.items()}
                 h, n, left = (np.repeat(first[k], len(x["gram"])) for k in ("v", "n", "left"))
-            none = (x["v"] == h) | ~_allowed(x["n"], x["left"], n, left, threshold)
-            for lo in range(0, len(none), 1 << 16):
-                cut = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[k][cut]) for k in x] + [pa.array(h[cut], mask=none[cut])], [*x, "h"])
+                yield from put(x, h, (x["v"] == h) | ~_allowed(x["n"], x["left"], n, left, threshold))
+                continue
+            x, first = _useful(_once_each(x), threshold), None
+            if not len(x["gram"]):
+                continue
+            many = np.diff(np.append(_starts(x["gram"]), len(x["gram"])))
+            few = np.repeat(many <= SOME, many)
+            y, x = {k: c[few] for k, c in x.items()}, {k: c[~few] for k, c in x.items()}
+            for a, b in _partners(many[many <= SOME]):
+                ok = _allowed(y["n"][a], y["left"][a], y["n"][b], y["left"][b], threshold) & (y["v"][a] != y["v"][b])
+                met = np.unique(np.stack([y["v"][a[ok]], y["v"][b[ok]]], 1), axis=0)
+                none = pa.nulls(len(met), pa.int64())
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([none, pa.array(met[:, 1].copy()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(met[:, 0].copy())], ["gram", "v", "n", "left", "h"])
+            many = many[many > SOME]
+            head = np.repeat(np.cumsum(many) - many, many)
+            if len(head):
+                yield from put(x, x["v"][head], (x["v"] == x["v"][head]) | ~_allowed(x["n"], x["left"], x["n"][head], x["left"][head], threshold))
 
     return rows.repartition("gram").sortWithinPartitions("gram", "n", "v").mapInArrow(run, f"{ENTRY}, h long")
 
@@ -336,9 +371,7 @@ def crossing(rows: DataFrame, threshold: float) -> DataFrame:
 
     def whole(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """All buckets of x at once."""
-        new = np.ones(len(x["n"]), dtype=bool)
-        new[1:] = (x["v"][1:] != x["v"][:-1]) | (x["n"][1:] != x["n"][:-1]) | (x["gram"][1:] != x["gram"][:-1])
-        x = {k: c[new] for k, c in x.items()}
+        x = _once_each(x)
         starts = _starts(x["gram"])
         many = np.diff(np.append(starts, len(x["gram"])))
         several = np.logical_or.reduceat(x["c"] != x["c"][np.repeat(starts, many)], starts)
@@ -357,21 +390,11 @@ def crossing(rows: DataFrame, threshold: float) -> DataFrame:
             keys = np.bitwise_xor.reduceat(mixed(x["v"].view(np.uint64)), np.cumsum(many) - many).view(np.int64)
             yield put(x["v"][hot[of]], key=keys[of][hot[of]])
             x, of, many = {k: c[~hot[of]] for k, c in x.items()}, of[~hot[of]], many[~hot]
-            of = np.repeat(np.arange(len(many)), many)
-        end = np.cumsum(many)[of] if len(of) else of
-        partners = end - np.arange(len(of)) - 1
-        total = np.cumsum(partners)
-        lo = 0
-        while lo < len(of):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
-            i = np.arange(lo, hi)
-            a = np.repeat(i, partners[lo:hi])
-            b = np.arange(len(a)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi]) + a + 1
+        for a, b in _partners(many):
             ok = (x["c"][a] != x["c"][b]) & _allowed(x["n"][a], x["left"][a], x["n"][b], x["left"][b], threshold)
             if ok.any():
                 met = np.unique(np.stack([x["v"][a[ok]], x["v"][b[ok]]], 1), axis=0)
                 yield put(met[:, 0].copy(), met[:, 1].copy())
-            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, flood in _in_buckets(batches):
@@ -534,7 +557,7 @@ def classes(texts: DataFrame, folder: str, n: int = N, threshold: float = THRESH
     freed(spark)
     # A v that two texts have is in no class yet, so that all its pairs are tried.
     of = labels.select(F.col("a.v").alias("v"), F.xxhash64("b").alias("c")).groupBy("v").agg(F.count("*").alias("texts"), F.first("c").alias("c")).where("texts = 1").select("v", "c")
-    rows = opened.select("gram", "v", "n", "left").join(_small(of), "v", "left").withColumn("c", F.coalesce("c", "v"))
+    rows = opened.where("gram IS NOT NULL").select("gram", "v", "n", "left").join(_small(of), "v", "left").withColumn("c", F.coalesce("c", "v"))
     met = written(crossing(rows, threshold), folder, "crossing")
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     maybe = written(sieved(pairs, marks, threshold), folder, "maybe1")
