@@ -66,3 +66,14 @@ def test_the_embedding_query_returns_whole_vectors_of_all_chunks(spark):
     got = {r["chunk_id"]: (r["dim"], r["norm"], r["vec"]) for r in query(spark, at).collect()}
     assert got.keys() == want.keys() and len(got) == catalog.chunks(spark, at).count()
     assert all(len(v) == 64 == d and n == want[c][1] and v == pytest.approx(want[c][2], abs=2e-5) for c, (d, n, v) in got.items())
+
+
+def test_the_embedding_query_keeps_the_sign_of_zero_as_its_sql_does(spark):
+    at = "/root/testdata/sf0.01"
+    query, sql = catalog.QUERIES["dummy_embed"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    want = {r[0]: r[3] for r in db.execute(sql).fetchall()}
+    got = {r["chunk_id"]: r["vec"] for r in query(spark, at).collect()}
+    assert any(repr(x) == "-0.0" for v in want.values() for x in v)
+    assert {c: list(map(repr, v)) for c, v in got.items()} == {c: list(map(repr, v)) for c, v in want.items()}
