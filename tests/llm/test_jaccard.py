@@ -113,3 +113,25 @@ def test_empty(spark):
     assert jaccard.groups(docs).count() == 0 and jaccard.thinned(docs).count() == 0
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " . ")], "doc_id long, text string")
     assert jaccard.groups(docs).count() == 0 and jaccard.thinned(docs).count() == 3
+
+
+def test_pairs_that_share_a_gram_or_two_are_not_looked_at(spark, monkeypatch):
+    """Buckets of all sizes hold pairs of different texts; their marks are read for those only that share SHARED buckets."""
+    rng, seen, sieve = random.Random(5), [], jaccard.sieved
+    phrases = [" ".join(words(rng, 2)) for _ in range(40)]
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(40)) + " " + phrases[k % 40], "s") for k in range(400)]
+    rows += [(1000 + k, t, s) for k, t, s in at_the_threshold()[:80]]
+    monkeypatch.setattr(jaccard, "sieved", lambda pairs, *a: (seen.append(pairs.count()), sieve(pairs, *a))[1])
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string, paths string")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)[0]
+    assert sum(seen) < 400
+
+
+def test_rows_without_a_label_stay_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS v", "id")
+    labels = rows.where("id % 100 = 0 AND id < 10000").selectExpr("v", "id + 1 AS c")
+    got = {r["id"]: r["c"] for r in jaccard._labelled(rows, labels, ["v"]).collect()}
+    assert got == {i: i + 1 if i % 100 == 0 and i < 10000 else None for i in range(20000)}
+    met = rows.where(jaccard._met(labels)("v"))
+    assert met.join(labels, "v", "left_semi").count() == 100 and met.count() < 300
