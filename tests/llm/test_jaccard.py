@@ -135,3 +135,11 @@ def test_rows_without_a_label_stay_out_of_the_shuffle(spark, monkeypatch):
     assert got == {i: i + 1 if i % 100 == 0 and i < 10000 else None for i in range(20000)}
     met = rows.where(jaccard._met(labels)("v"))
     assert met.join(labels, "v", "left_semi").count() == 100 and met.count() < 300
+
+
+def test_thinned_with_labels_too_many_to_be_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, paths string")
+    want = sorted(map(tuple, jaccard.thinned(docs).collect()), key=str)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    got = jaccard.thinned(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == want
