@@ -143,3 +143,18 @@ def test_thinned_with_labels_too_many_to_be_broadcast(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     got = jaccard.thinned(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_buckets_open_in_rounds_and_only_for_grams_of_several_texts(spark, monkeypatch):
+    rng, opened, buckets = random.Random(13), [], jaccard.buckets
+    alone = [(2000 + k, " ".join(f"own{k}x{rng.randrange(10**6)}" for _ in range(200)), "s") for k in range(100)]
+    rows = at_the_threshold() + alone
+    monkeypatch.setattr(jaccard, "ROUND", 12000)
+    monkeypatch.setattr(jaccard, "GATHERED", 3000)
+    monkeypatch.setattr(jaccard, "buckets", lambda e, threshold: opened.append(e.count()) or buckets(e, threshold))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, paths string")
+    assert sorted(map(tuple, jaccard.groups(docs).collect()), key=str) == expected(rows)[0]
+    grams, at = gram_sets(*utf8(pa.array([r[1] for r in rows])), jaccard.N)
+    # Half of each set and SHARED - 1 more are its prefix without a look at the others' grams.
+    assert len(opened) == -(-len(grams) // jaccard.ROUND) > 2 and sum(opened) < 0.5 * sum(n / 2 for n in np.diff(at))
+    assert max(opened) < 2 * sum(opened) / len(opened)
