@@ -158,3 +158,10 @@ def test_buckets_open_in_rounds_and_only_for_grams_of_several_texts(spark, monke
     # Half of each set and SHARED - 1 more are its prefix without a look at the others' grams.
     assert len(opened) == -(-len(grams) // jaccard.ROUND) > 2 and sum(opened) < 0.5 * sum(n / 2 for n in np.diff(at))
     assert max(opened) < 2 * sum(opened) / len(opened)
+
+
+def test_no_table_but_the_labels_outlives_the_search_for_classes(spark, tmp_path):
+    rows = [(k, t, "s") for k, t in enumerate(["a b c d e f", "a b c d e g", "x y z", "x y z q", "alone here"])]
+    texts = jaccard._texts(spark.createDataFrame(rows, "doc_id long, text string, paths string"))
+    assert jaccard.classes(texts, f"file://{tmp_path}").count() == 4
+    assert [p.name for p in tmp_path.iterdir()] == ["labels"]
