@@ -225,6 +225,16 @@ def decoded(ids: list[int], v: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def texts_of(lists: pa.ListArray, v: Vocabulary) -> list[str | None]:
+    """What decoded says of each list, of all at once; null where the list is."""
+    null = np.asarray(lists.is_null())
+    at = np.concatenate([[0], np.cumsum(np.where(null, 0, np.diff(lists.offsets.to_numpy())))]).astype(np.int64)
+    raw, ends = decode(lists.flatten().to_numpy(), at, v)
+    raw = raw.tobytes()
+    texts = [None if no else raw[a:b].decode("utf-8", "replace") for no, a, b in zip(null.tolist(), ends[:-1].tolist(), ends[1:].tolist())]
+    return [t[1:] if t and t.startswith(" ") else t for t in texts]
+
+
 def faithful(texts: pa.Array, ids: np.ndarray, at: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Whether each text comes back from its ids, byte by byte."""
     raw, ends = utf8(texts)
@@ -272,8 +282,7 @@ def restored(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [None if ids is None else decoded(ids, vocabulary) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts_of(part.column("ids"), vocabulary), pa.string())], ["doc_id", "text"])
 
     return encoded(docs, model_file).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispan.llm import pieces
@@ -66,3 +67,14 @@ def test_rows(spark):
     assert len(out) == 5 and all(r["round_trip"] for r in out)
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0, r["ids"] is None) for r in out) == [(0, True, False), (1, True, False), (1, True, False), (2, False, True), (3, False, False)]
     assert pieces.encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lists_are_decoded_together():
+    from lexispan.llm import pieces as P
+
+    v = P.load(P.default_model())
+    texts = ["plain words", None, "", " ä ▁ 漢字 \n\n  x", "z" * 300]
+    ids, at = P.Encoder(v).encode(texts)
+    lists = [None if t is None else ids[a:b].tolist() for t, a, b in zip(texts, at, at[1:])] + [[int(v.byte_ids[0xE6])]]
+    col = pa.array([[1, 2], *lists], pa.list_(pa.int32())).slice(1)
+    assert P.texts_of(col, v) == [None if x is None else P.decoded(x, v) for x in lists] == [*texts, "\ufffd"]
