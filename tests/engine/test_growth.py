@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lexispan import catalog
+from lexispan import catalog, service
 from lexispan.functions import text as X
 from lexispan.operators import lexical
 from lexispan.plans.query import parse
@@ -64,3 +64,18 @@ def test_only_words_that_may_have_parts_are_taken_apart(spark):
     for r in rows.select(want.alias("want"), X.expansions(F.col("t")).alias("got"), "t").collect():
         assert r["got"] == r["want"]
     assert re.findall(X.SEVERAL.replace("*+", "*").replace("++", "+"), texts[0])[:3] == ["fooBar", "v2", "a_b"]
+
+
+def test_files_are_opened_once_and_by_many_tasks(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"f{k}.md").write_text(f"the text of {k}")
+    times, parts, opened = spark.sparkContext.accumulator(0), [], service.source.opened
+
+    def seen(rows, probe):
+        parts.append(rows.rdd.getNumPartitions())
+        count = lambda batches: (times.add(b.num_rows) or b for b in batches)
+        return opened(rows.mapInArrow(count, rows.schema), probe)
+
+    monkeypatch.setattr(service.source, "opened", seen)
+    assert service.Index(spark, str(tmp_path)).rebuild().files_indexed == 40
+    assert times.value == 40 and parts == [spark.sparkContext.defaultParallelism]
